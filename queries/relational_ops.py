@@ -39,9 +39,9 @@ def search(spark, d):
 
 
 @query("pf5_search_literal", """SELECT p_partkey, p_name, p_type FROM part
-WHERE contains(lower(p_name), 'part#1') OR contains(lower(p_type), 'part#1') OR contains(lower(p_partkey::VARCHAR), 'part#1')""")
+WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_partkey::VARCHAR), 'ring')""")
 def literal(spark, d):
-    return rel.search_literal(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "Part#1")
+    return rel.search_literal(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "RING")
 
 
 @query("pf6_numeric_filter_ne", f"WITH {LINEITEM_NULLS} SELECT l_orderkey, l_quantity FROM lineitem_nulls WHERE l_quantity <> 5 OR l_quantity IS NULL")
