@@ -198,12 +198,12 @@ def top_pairs(spark, d):
     return association.top_correlated_pairs(lineitem_nulls(spark, d), CORR, "pearson", 3, digits=6)
 
 
-def eta_sql(source, c, v):
+def eta_sql(source, c, v, digits=5):
     return f"""WITH p AS (SELECT {c} AS c, {v}::DOUBLE AS v FROM {source} WHERE {c} IS NOT NULL AND {v} IS NOT NULL),
 m AS (SELECT avg(v) AS grand FROM p), g AS (SELECT c, count(*) AS n, avg(v) AS gm FROM p GROUP BY c)
 SELECT round(coalesce(CASE WHEN (SELECT count(*) FROM g) < 2 THEN 0 WHEN (SELECT sum(n) / count(*) FROM g) < 3 THEN 0
 WHEN (SELECT sum((v - grand) * (v - grand)) FROM p, m) = 0 THEN 0
-ELSE sqrt((SELECT sum(n * (gm - grand) * (gm - grand)) FROM g, m) / (SELECT sum((v - grand) * (v - grand)) FROM p, m)) END, 0), 5)::DOUBLE"""
+ELSE sqrt((SELECT sum(n * (gm - grand) * (gm - grand)) FROM g, m) / (SELECT sum((v - grand) * (v - grand)) FROM p, m)) END, 0), {digits})::DOUBLE"""
 
 
 @query("a18_correlation_ratio", union_all([
@@ -217,13 +217,13 @@ def eta(spark, d):
     return out
 
 
-def cramers_sql(source, a, b):
+def cramers_sql(source, a, b, digits=5):
     return f"""WITH p AS (SELECT {a} AS a, {b} AS b FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
 ca AS (SELECT a, count(*) AS n FROM p GROUP BY a), cb AS (SELECT b, count(*) AS n FROM p GROUP BY b),
 cells AS (SELECT ca.a, cb.b, ca.n::DOUBLE * cb.n / (SELECT count(*) FROM p) AS e FROM ca, cb),
 o AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b)
 SELECT round(sqrt(sum((coalesce(o.n, 0) - e) * (coalesce(o.n, 0) - e) / e) / ((SELECT count(*) FROM p) *
-(least((SELECT count(*) FROM ca), (SELECT count(*) FROM cb)) - 1))), 5) FROM cells LEFT JOIN o USING (a, b)"""
+(least((SELECT count(*) FROM ca), (SELECT count(*) FROM cb)) - 1))), {digits}) FROM cells LEFT JOIN o USING (a, b)"""
 
 
 @query("a19_cramers_v", f"""SELECT ({cramers_sql('orders', 'o_orderpriority', 'o_orderstatus')}) AS v""")

@@ -45,7 +45,7 @@ def charts(spark, d):
 E3 = union_all(
     [f"SELECT '{c}' AS \"column\", round(abs(corr({c}, l_extendedprice)), 4) AS score, 'pearson' AS method FROM lineitem"
      for c in ("l_quantity", "l_discount", "l_tax")]
-    + [f"SELECT '{c}', round(({eta_sql('lineitem', c, 'l_extendedprice')}), 4), 'correlation ratio'" for c in ("l_returnflag", "l_linestatus")])
+    + [f"SELECT '{c}', round(({eta_sql('lineitem', c, 'l_extendedprice', 12)}), 4), 'correlation ratio'" for c in ("l_returnflag", "l_linestatus")])
 
 
 @query("e3_relevance_numeric_target", E3)
@@ -54,8 +54,8 @@ def relevance(spark, d):
 
 
 @query("e3_relevance_text_target", union_all([
-    f"""SELECT 'o_totalprice' AS "column", round(({eta_sql('orders', 'o_orderstatus', 'o_totalprice')}), 4) AS score, 'correlation ratio' AS method""",
-    f"""SELECT 'o_orderpriority', round(({cramers_sql('orders', 'o_orderpriority', 'o_orderstatus')}), 4), 'cramers v'"""]))
+    f"""SELECT 'o_totalprice' AS "column", round(({eta_sql('orders', 'o_orderstatus', 'o_totalprice', 12)}), 4) AS score, 'correlation ratio' AS method""",
+    f"""SELECT 'o_orderpriority', round(({cramers_sql('orders', 'o_orderpriority', 'o_orderstatus', 12)}), 4), 'cramers v'"""]))
 def relevance_text(spark, d):
     return explore.relevance_table(table(spark, d, "orders"), "o_orderstatus", ["o_totalprice", "o_orderpriority"])
 
