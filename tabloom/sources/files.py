@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +64,7 @@ def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:
 def typed_records(records: DataFrame, column: str = "record") -> DataFrame:
     """Variants to columns by the merged schema of all records (one aggregation pass)."""
     merged = records.agg(F.schema_of_variant_agg(column)).first()[0]
-    ddl = merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
     return records.select(F.variant_get(F.col(column), "$", ddl).alias("r")).select("r.*")
 
 
