@@ -194,7 +194,7 @@ def assign_new_dbscan(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.when(F.col("c_acctbal") < 0, -1).otherwise(F.col("c_nationkey") % 3).alias("cluster"))
     scaled, scaler = scale_for_clustering(c, ["balance"])
     new = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"))
-    return cluster.assign_new("dbscan", new, "s_suppkey", ["balance"], scaler, train=scaled)
+    return cluster.assign_new("dbscan", new, "s_suppkey", ["balance"], scaler, train=scaled, train_key="c_custkey")
 
 
 @query("k9_cluster_sizes", f"WITH {LLOYD} SELECT cluster::INT AS cluster, count(*) AS rows FROM a GROUP BY 1")

@@ -110,13 +110,13 @@ def decide_dbscan(df: DataFrame, key: str, cols: list[str], min_samples: int | N
 
 
 def assign_new(kind: str, new: DataFrame, key: str, cols: list[str], scaler: Recipe, train: DataFrame | None = None,
-               label: str = "cluster", centroids: list | None = None) -> DataFrame:
+               label: str = "cluster", centroids: list | None = None, train_key: str | None = None) -> DataFrame:
     """Clusters for new rows: fitted scaling, then the closest centroid, or the closest training row for DBSCAN."""
     scaled = scaler.transform(new)
     points = vectorised(scaled, cols, key)
     if kind == "kmeans":
         return assign_to_centroids(points, "v", centroids).select(F.col("id").alias(key), "cluster")
-    return assign_nearest(points, vectorised(train, cols, key, label)).select(F.col("id").alias(key), F.col("label").alias("cluster"))
+    return assign_nearest(points, vectorised(train, cols, train_key or key, label)).select(F.col("id").alias(key), F.col("label").alias("cluster"))
 
 
 def noise_free_silhouette(points: DataFrame) -> DataFrame:

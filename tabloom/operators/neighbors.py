@@ -35,6 +35,7 @@ def blockwise(
 ) -> DataFrame:
     """``work(query block, base block)`` for all pairs of blocks; both sides have a unique ``id``."""
     spark = queries.sparkSession
+    base = base.select(*[F.col(c).alias(c) for c in base.columns])  # both sides may stem from one table
     nq, nb = queries.count(), base.count()
     cores = max(1, min(spark.sparkContext.defaultParallelism, nq // 256))
     bq, bb = _blocks(nq, block_rows, cores), _blocks(nb, block_rows)
