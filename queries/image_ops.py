@@ -47,10 +47,10 @@ def gray(spark, d):
 
 @query("im5_glcm", f"""WITH {PX}, p AS (SELECT image_id, gray // 16 AS i, lead(gray) OVER (PARTITION BY image_id, y ORDER BY x) // 16 AS j FROM px),
 s AS (SELECT image_id, i, j FROM p WHERE j IS NOT NULL UNION ALL SELECT image_id, j, i FROM p WHERE j IS NOT NULL),
-c AS (SELECT image_id, i, j, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY image_id) AS p FROM s GROUP BY 1, 2, 3),
+c AS (SELECT image_id, i, j, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY image_id))::DOUBLE AS t, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY image_id) AS p FROM s GROUP BY 1, 2, 3),
 m AS (SELECT image_id, sum(i * p) AS mu FROM c GROUP BY 1), v AS (SELECT image_id, sum((i - mu) ** 2 * p) AS var FROM c JOIN m USING (image_id) GROUP BY 1)
-SELECT image_id, round(sum(p * (i - j) ** 2), 4) AS "GLCM_Contrast", round(sum(p * abs(i - j)), 4) AS "GLCM_Dissimilarity", round(sum(p / (1 + (i - j) ** 2)), 4) AS "GLCM_Homogeneity",
-round(sum(p * p), 4) AS "GLCM_Energy_ASM", round(CASE WHEN any_value(var) > 1e-12 THEN sum(p * (i - mu) * (j - mu)) / any_value(var) ELSE 0 END, 4) AS "GLCM_Correlation" FROM c JOIN m USING (image_id) JOIN v USING (image_id) GROUP BY 1""")
+SELECT image_id, round(sum(n * (i - j) ** 2) / any_value(t), 4) AS "GLCM_Contrast", round(sum(n * abs(i - j)) / any_value(t), 4) AS "GLCM_Dissimilarity", round(sum(n / (1 + (i - j) ** 2)) / any_value(t), 4) AS "GLCM_Homogeneity",
+round(sum(n * n) / any_value(t * t), 4) AS "GLCM_Energy_ASM", round(CASE WHEN any_value(var) > 1e-12 THEN sum(p * (i - mu) * (j - mu)) / any_value(var) ELSE 0 END, 4) AS "GLCM_Correlation" FROM c JOIN m USING (image_id) JOIN v USING (image_id) GROUP BY 1""")
 def glcm(spark, d):
     return image.glcm(pixels(spark, d))
 

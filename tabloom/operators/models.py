@@ -260,8 +260,8 @@ def decide_classification_model(n: int, threshold: int = 150) -> dict:
 
 def auto_train_classification(df: DataFrame, key: str, features: list[str], target: str, seed: int = 42) -> dict:
     data = complete_cases(df.select(key, *features, target), [*features, target])
-    encoded, mapping = encode_target(data, target, "label")
-    encoded = encoded.withColumn("label", F.col("label").cast("double")).persist()
+    encoded, mapping = encode_target(data, target, "_code")
+    encoded = encoded.drop(target).withColumn("label", F.col("_code").cast("double")).drop("_code").persist()
     n = encoded.count()
     decision, plan = decide_classification_model(n), decide_split(n)
     parts = train_test_split(encoded, key, plan["test_size"], seed, "label")
