@@ -42,10 +42,10 @@ def default_features(spark, d):
 
 @query("x3_recipe_parameters", f"""WITH {C14_SQL} SELECT 'fill' AS kind, 'l_quantity' AS "column", (SELECT median(l_quantity) FROM lineitem_nulls)::INT::VARCHAR AS text, NULL::DOUBLE AS a, NULL::DOUBLE AS b
 UNION ALL SELECT 'fill', 'l_returnflag', {mode_sql('l_returnflag')}, NULL, NULL UNION ALL SELECT 'drop', 'l_tax', NULL, NULL, NULL """ + "".join(
-    f"UNION ALL SELECT 'scale', '{c}', NULL, round(avg({c}), 6), round(stddev_pop({c}), 6) FROM f " for c in C14_COLS))
+    f"UNION ALL SELECT 'scale', '{c}', NULL, round(avg({c}), 9), round(stddev_pop({c}), 9) FROM f " for c in C14_COLS))
 def recipe_parameters(spark, d):
     out = clean.auto_preprocess(lineitem_nulls(spark, d), "linear_regression", exclude=IDS)
-    return out.recipe.to_df(spark).drop("step").withColumns({"a": F.round("a", 6), "b": F.round("b", 6)})
+    return out.recipe.to_df(spark).drop("step").withColumns({"a": F.round("a", 9), "b": F.round("b", 9)})
 
 
 CHAIN = "c AS (SELECT o_orderkey AS version, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS source_version, o_custkey FROM orders)"
@@ -128,11 +128,11 @@ def predict(spark, d):
     return s.predict(run, new, text_features(spark, d))[1]
 
 
-@query("ud1_text_pipeline", "SELECT doc_id, upper(substr(text, 1, 5)) AS text__head FROM documents")
+@query("ud1_text_pipeline", "SELECT doc_id, lower(substr(text, 1, 5)) AS text__head FROM documents")
 def text_pipeline(spark, d):
     s = fusion.FusionSession(spark, scratch_path(spark, "fusion"), "doc_id")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    v = s.combine(docs.select("doc_id"), docs, text_pipeline=lambda t: t.select("doc_id", F.upper(F.substring("text", 1, 5)).alias("head")))
+    v = s.combine(docs.select("doc_id"), docs, text_pipeline=lambda t: t.select("doc_id", F.lower(F.substring("text", 1, 5)).alias("head")))
     return s.store.read(v).select("doc_id", "text__head")
 
 
