@@ -19,10 +19,11 @@ def make_letter_model():
     return predict
 
 
-@query("n22_embed_with_model", "SELECT doc_id, round((length(text) - length(replace(lower(text), 'e', '')))::DOUBLE / length(text), 4) AS e, length(text)::DOUBLE AS chars FROM documents")
+@query("n22_embed_with_model", "SELECT doc_id, (length(text) - length(replace(lower(text), 'e', '')))::BIGINT AS e, length(text)::DOUBLE AS chars FROM documents")
 def embed(spark, d):
     out = topics.embed_with(corpus(spark, d), make_letter_model)
-    return out.select("doc_id", F.round(F.col("vector")[0].cast("double"), 4).alias("e"), F.col("vector")[6].cast("double").alias("chars"))
+    share, chars = F.col("vector")[0].cast("double"), F.col("vector")[6].cast("double")
+    return out.select("doc_id", F.round(share * chars).cast("bigint").alias("e"), chars.alias("chars"))
 
 
 @query("n22_embed_word2vec")

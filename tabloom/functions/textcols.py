@@ -52,8 +52,8 @@ def remove_digits(x) -> Column:
 
 def remove_stopwords(x, stopwords: list[str]) -> Column:
     """Drop words found in the supplied list, whatever their case."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    return F.array_join(F.filter(words(x), lambda w: ~F.array_contains(stop, F.lower(w))), " ")
+    stop = sorted(set(stopwords))  # becomes one hash set of the plan
+    return F.array_join(F.filter(words(x), lambda w: ~F.lower(w).isin(stop)), " ")
 
 
 def drop_short_tokens(x, min_length: int = 3) -> Column:

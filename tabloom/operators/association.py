@@ -82,9 +82,9 @@ def _named_pairs(df: DataFrame, cols: list[str], by_pair: DataFrame) -> DataFram
 
 def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of the average ranks within pairwise-complete rows, for all pairs."""
-    cells = _pair_cells(df, cols)
-    ranked = running_share(_by_axis(cells, F.sum("n")), ["pair", "axis"], "value", "m")
-    ranked = ranked.withColumn("rank", F.col("before") + (F.col("m") + 1) / 2.0)
+    cells = cut_lineage(_pair_cells(df, cols))
+    ranked = running_share(cut_lineage(_by_axis(cells, F.sum("n"))), ["pair", "axis"], "value", "m")
+    ranked = cut_lineage(ranked.select("pair", "axis", "value", (F.col("before") + (F.col("m") + 1) / 2.0).alias("rank")))
     joined = _join_axes(cells, ranked, "rank")
     x, y, n = F.col("rank_x"), F.col("rank_y"), F.col("n")
     total = F.sum(n)
@@ -105,8 +105,8 @@ def kendall_pairs(df: DataFrame, cols: list[str], slice_bits: int = 10) -> DataF
     That is a running sum. Prefix groups can be as large as the table, therefore x codes are cut
     into slices: sums inside a slice by window, sums of whole slices by a window over slice totals.
     """
-    cells = _pair_cells(df, cols)
-    codes = running_share(_by_axis(cells, F.max(F.lit(1))), ["pair", "axis"], "value", "m", "code")
+    cells = cut_lineage(_pair_cells(df, cols))
+    codes = running_share(cut_lineage(_by_axis(cells, F.max(F.lit(1)))), ["pair", "axis"], "value", "m", "code")
     coded = cut_lineage(
         _join_axes(cells, codes, "code").select("pair", F.col("code_x").alias("cx"), F.col("code_y").alias("cy"), F.col("n").cast("double").alias("n"))
     )

@@ -59,8 +59,11 @@ def fit_regression(train: DataFrame, features: list[str], target: str, choice: s
     """
     lr = LinearRegression(labelCol=target, featuresCol="features", predictionCol="prediction", standardization=False, maxIter=1000, tol=1e-10)
     steps = [_assembler(features)]
+    normal = len(features) <= 4096 and choice in ("linear", "ridge")
     if choice == "ridge":
-        n, sd = train.agg(F.count(F.lit(1)), F.stddev_samp(col(target).cast("double"))).first()
+        # The normal-equation solver rescales by the population deviation, the other one by the sample's.
+        y = col(target).cast("double")
+        n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop(y) if normal else F.stddev_samp(y)).first()
         lr = lr.setRegParam(alpha / n * (sd or 0.0)).setElasticNetParam(0.0)
     elif choice == "lasso":
         lr = lr.setRegParam(alpha).setElasticNetParam(1.0)
@@ -69,7 +72,7 @@ def fit_regression(train: DataFrame, features: list[str], target: str, choice: s
         lr = lr.setFeaturesCol("poly")
     elif choice != "linear":
         raise ValueError(choice)
-    if choice == "linear" and len(features) <= 4096:
+    if normal:
         lr = lr.setSolver("normal")
     return Fitted(choice, features, Pipeline(stages=[*steps, lr]).fit(train))
 

@@ -1,21 +1,23 @@
 """Exact quantiles with linear interpolation, also for groups too large for one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. That is fine
-below ``SINGLE_TASK_ROWS``; larger groups are narrowed first: an approximate sketch gives a
-bracket around each wanted rank, one pass counts the rows below and inside the bracket, and
-the step repeats on the rows inside until the bracket is small. The answer is exact.
+below ``SINGLE_TASK_ROWS``. For larger groups each wanted rank gets a bracket [lo, hi]; one pass
+counts the rows of all brackets in equal-width bins (a small, map-side combined aggregate), the
+bin that holds the rank becomes the next bracket, and the step repeats until the bracket is one
+value or small enough to finish. The answer is exact and the number of groups is unlimited.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import col, present
+from tabloom.functions.columns import present
+from tabloom.session import broadcast_if_small, cut_lineage
 
 SINGLE_TASK_ROWS = 2_000_000
+BINS = 1_024
+MAX_PASSES = 60
 
 
 def melt_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -28,115 +30,69 @@ def melt_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def quantiles_by_key(long: DataFrame, probs: list[float], single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """``(key, value)`` -> ``(key, prob, quantile)``; missing values must be gone already."""
-    counts = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = {r["key"]: r["n"] for r in counts.where(F.col("n") > single_task_rows).collect()}
+    counts = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     pct = [F.struct(F.lit(float(p)).alias("prob"), F.percentile("value", float(p)).alias("quantile")) for p in probs]
-    small = long.where(~F.col("key").isin(list(hot))) if hot else long
-    out = small.groupBy("key").agg(F.array(*pct).alias("q")).select("key", F.inline("q"))
-    if not hot:
-        return out
-    spark = long.sparkSession
-    solved = _narrow(long.where(F.col("key").isin(list(hot))), hot, probs, single_task_rows)
-    key_type = long.schema["key"].dataType.simpleString()
-    return out.unionByName(spark.createDataFrame(solved, f"key {key_type}, prob double, quantile double"))
-
-
-def _narrow(long: DataFrame, sizes: dict, probs: list[float], limit: int) -> list[tuple]:
-    """Solve the hot keys. State per (key, rank): bracket [lo, hi] and the rank inside it."""
-    wanted, weights = {}, {}
-    for key, n in sizes.items():
-        for p in probs:
-            pos = p * (n - 1)
-            base = int(pos)
-            weights[(key, p)] = (base, min(base + 1, n - 1), pos - base)
-            for rank in weights[(key, p)][:2]:
-                wanted[(key, rank)] = None
-    state = {k: (float("-inf"), float("inf"), k[1], sizes[k[0]]) for k in wanted}
-    solved: dict[tuple, float] = {}
-    while state:
-        ready = {k: s for k, s in state.items() if s[3] <= limit}
-        if ready:
-            solved.update(_pick(long, ready))
-            state = {k: s for k, s in state.items() if k not in ready}
-            if not state:
-                break
-        state = _shrink(long, state, solved)
-    return [
-        (key, float(p), solved[(key, lo)] + (solved[(key, hi)] - solved[(key, lo)]) * frac)
-        for (key, p), (lo, hi, frac) in weights.items()
-    ]
-
-
-def _inside(key, lo: float, hi: float) -> Column:
-    cond = F.col("key") == F.lit(key)
-    if lo != float("-inf"):
-        cond &= F.col("value") >= F.lit(lo)
-    if hi != float("inf"):
-        cond &= F.col("value") <= F.lit(hi)
-    return cond
-
-
-def _shrink(long: DataFrame, state: dict, solved: dict) -> dict:
-    """One sketch pass and one counting pass for all open brackets together."""
-    items = list(state.items())
-    sketches = []
-    for i, ((key, _), (lo, hi, rank, n)) in enumerate(items):
-        around = [max(0.0, (rank - n * 0.001) / n), min(1.0, (rank + 1 + n * 0.001) / n)]
-        sketches.append(F.percentile_approx(F.when(_inside(key, lo, hi), F.col("value")), around, 5000).alias(f"s{i}"))
-    edges = long.agg(*sketches).first()
-    aggs = []
-    for i, ((key, _), (lo, hi, _, _)) in enumerate(items):
-        a, b = edges[f"s{i}"]
-        base = _inside(key, lo, hi)
-        value = F.col("value")
-        aggs += [
-            F.count_if(base & (value < F.lit(a))).alias(f"b{i}"),
-            F.count_if(base & (value == F.lit(a))).alias(f"l{i}"),
-            F.count_if(base & (value > F.lit(a)) & (value < F.lit(b))).alias(f"m{i}"),
-            F.count_if(base & (value == F.lit(b)) & F.lit(a != b)).alias(f"h{i}"),
-        ]
-    counted = long.agg(*aggs).first()
-    nxt = {}
-    for i, (k, (lo, hi, rank, n)) in enumerate(items):
-        a, b = edges[f"s{i}"]
-        below, at_a, between, at_b = (counted[f"{x}{i}"] for x in "blmh")
-        steps = [
-            (below, (lo, math.nextafter(a, -math.inf))),
-            (at_a, a),
-            (between, (math.nextafter(a, math.inf), math.nextafter(b, -math.inf))),
-            (at_b, b),
-            (n - below - at_a - between - at_b, (math.nextafter(b, math.inf), hi)),
-        ]
-        for size, target in steps:
-            if rank < size:
-                if isinstance(target, tuple):
-                    nxt[k] = (*target, rank, size)
-                else:
-                    solved[k] = target  # the rank falls on a bracket edge, however heavy it is
-                break
-            rank -= size
-    return nxt
-
-
-def _pick(long: DataFrame, ready: dict) -> dict:
+    if counts.where(F.col("n") > single_task_rows).limit(1).count() == 0:
+        return long.groupBy("key").agg(F.array(*pct).alias("q")).select("key", F.inline("q"))
+    sizes = cut_lineage(counts)
+    hot = sizes.where(F.col("n") > single_task_rows)
+    side = broadcast_if_small(hot.select("key"))
+    small = long.join(side, "key", "left_anti").groupBy("key").agg(F.array(*pct).alias("q")).select("key", F.inline("q"))
+    return small.unionByName(_narrow(long.join(side, "key", "left_semi"), hot, probs, single_task_rows))
+
+
+def _narrow(long: DataFrame, sizes: DataFrame, probs: list[float], limit: int) -> DataFrame:
+    """Quantiles of the hot keys from the two order statistics around each position."""
+    wanted = sizes.select("key", "n", "lo", "hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    wanted = wanted.withColumn("pos", F.col("prob") * (F.col("n") - 1))
+    base = F.floor("pos")
+    ranks = wanted.select("key", "prob", (F.col("pos") - base).alias("frac"), "n", "lo", "hi",
+                          F.posexplode(F.array(base, F.least(base + 1, F.col("n") - 1))).alias("upper", "rank"))
+    ranks = cut_lineage(ranks)
+    state = ranks.select("key", "rank", "n", "lo", "hi").distinct().select("key", F.col("rank").alias("slot"), "rank", "n", "lo", "hi")
+    solved = None
+    for _ in range(MAX_PASSES):
+        state = cut_lineage(state)
+        done = state.where("lo = hi").select("key", "slot", F.col("lo").alias("value"))
+        open_ = state.where("lo < hi")
+        finish = open_.where(F.col("n") <= limit)
+        done = done.unionByName(_pick(long, finish))
+        solved = done if solved is None else solved.unionByName(done)
+        state = open_.where(F.col("n") > limit)
+        if state.limit(1).count() == 0:
+            break
+        state = _bins(long, state)
+    else:
+        raise RuntimeError("quantile brackets did not close: are there infinite values?")
+    values = ranks.join(solved.withColumnRenamed("slot", "rank"), ["key", "rank"])
+    low, high = F.max(F.when(F.col("upper") == 0, F.col("value"))), F.max(F.when(F.col("upper") == 1, F.col("value")))
+    return values.groupBy("key", "prob", "frac").agg(low.alias("low"), high.alias("high")).select(
+        "key", "prob", (F.col("low") + (F.col("high") - F.col("low")) * F.col("frac")).alias("quantile"))
+
+
+def _bracketed(long: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of each open bracket; a row meets only the few brackets of its own key."""
+    return long.join(broadcast_if_small(state), "key").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+
+
+def _bins(long: DataFrame, state: DataFrame) -> DataFrame:
+    """The bin around each rank as the next bracket, with its own smallest and largest value."""
+    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    slot = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+    cells = _bracketed(long, state).groupBy("key", "slot", "rank", slot.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    before = Window.partitionBy("key", "slot").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    held = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
+    return cells.where(held).select("key", "slot", (F.col("rank") - F.col("before")).alias("rank"), "n", "lo", "hi")
+
+
+def _pick(long: DataFrame, state: DataFrame) -> DataFrame:
     """Order statistics inside brackets that are known to be small."""
-    cases = [
-        F.struct(F.lit(i).alias("slot"), F.when(_inside(key, lo, hi), F.col("value")).alias("value"))
-        for i, ((key, _), (lo, hi, _, _)) in enumerate(ready.items())
-    ]
-    hits = long.select(F.inline(F.array(*cases))).where(F.col("value").isNotNull())
-    freq = hits.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = F.array(*[F.lit(int(s[2])) for s in ready.values()])
-    rank = F.element_at(ranks, F.col("slot") + 1)
-    picked = (
-        freq.withColumn("upto", upto)
-        .where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
-        .select("slot", "value")
-        .collect()
-    )
-    keys = list(ready)
-    return {keys[r["slot"]]: r["value"] for r in picked}
+    freq = _bracketed(long, state).groupBy("key", "slot", "rank", "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("key", "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    hit = freq.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+    return hit.select("key", "slot", "value")
 
 
 def column_quantiles(

@@ -38,14 +38,15 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     if stratify and min(counts.values(), default=0) >= 2:
         quota = stratified_quota(counts, test_size)
         ranked = hash_rank(df, key, seed, stratify, "_rank")
-        limit = F.lit(0)
-        for c, q in quota.items():
-            limit = F.when(col(stratify).eqNullSafe(F.lit(c)), q).otherwise(limit)
+        kind = df.schema[stratify].dataType.simpleString()
+        quotas = df.sparkSession.createDataFrame(list(quota.items()), f"_class {kind}, _quota bigint")  # one row per class
+        ranked = ranked.join(F.broadcast(quotas), col(stratify).eqNullSafe(F.col("_class"))).drop("_class")
+        limit = F.col("_quota")
     else:
         n = df.agg(F.count(F.lit(1))).first()[0]
         ranked = hash_rank(df, key, seed, None, "_rank")
         limit = F.lit(math.ceil(test_size * n))
-    return ranked.withColumn(out, F.when(F.col("_rank") < limit, "test").otherwise("train")).drop("_rank")
+    return ranked.withColumn(out, F.when(F.col("_rank") < limit, "test").otherwise("train")).drop("_rank", "_quota")
 
 
 def k_fold(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None, out: str = "fold") -> DataFrame:

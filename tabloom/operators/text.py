@@ -202,7 +202,7 @@ class Vectorizer:
     def term_counts(self, corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         grams = tx.ngram_range(tx.word_tokens(col(text)), self.low, self.high)
         exploded = corpus.select(col(key).alias("doc_id"), F.explode(grams).alias("term"))
-        known = exploded.join(F.broadcast(self.vocabulary), "term")  # at most max_features rows
+        known = exploded.join(self.vocabulary, "term")  # max_features rows: broadcast by size
         return known.groupBy("doc_id", "index", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
 
     def transform(self, corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,9 +239,11 @@ def fit_vectorizer(
 ) -> Vectorizer:
     """Vocabulary = the most frequent terms of the corpus (ties in term order), numbered alphabetically."""
     grams = tx.ngram_range(tx.word_tokens(col(text)), *ngram)
-    exploded = corpus.select(col(key).alias("doc_id"), F.explode(grams).alias("term"))
-    per_doc = exploded.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    terms = per_doc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # Occurrences and documents of a term in one explode; both sums combine before the shuffle.
+    marks = lambda terms, t, d: F.transform(terms, lambda g: F.struct(g.alias("term"), F.lit(t).alias("t"), F.lit(d).alias("d")))
+    docs = corpus.select(grams.alias("_g"))
+    exploded = docs.select(F.inline(F.concat(marks(F.col("_g"), 1, 0), marks(F.array_distinct("_g"), 0, 1))))
+    terms = exploded.groupBy("term").agg(F.sum("t").alias("total"), F.sum("d").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(max_features)
     n = corpus.agg(F.count(F.lit(1))).first()[0]
     idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0

@@ -43,11 +43,10 @@ def json_records(documents: DataFrame, text: str = "value") -> DataFrame:
     kind = F.schema_of_variant("_doc")
     lists = docs.where(kind.startswith("ARRAY")).select("_doc")
     objects = docs.where(kind.startswith("OBJECT")).select("_text", "_doc")
-    keys = F.json_object_keys("_text")
-    raw = lambda k: F.call_function("get_json_object", F.col("_text"), F.concat(F.lit("$['"), k, F.lit("']")))
-    key_types = F.transform(keys, lambda k: F.struct(k.alias("key"), raw(k).alias("raw")))
-    first = F.get(F.filter(key_types, lambda s: F.json_array_length(s["raw"]).isNotNull()), F.lit(0))
-    opened = objects.withColumn("_list", F.try_parse_json(first["raw"]))
+    fields = F.from_json("_text", "map<string,variant>")
+    is_list = lambda k: F.schema_of_variant(F.element_at("_map", k)).startswith("ARRAY")
+    first = F.get(F.filter(F.json_object_keys("_text"), is_list), F.lit(0))
+    opened = objects.withColumn("_map", fields).withColumn("_list", F.element_at("_map", first)).drop("_map")
     from_lists = lists.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("_doc").outer())).select(F.col("value").alias("record"))
     from_key = opened.where(F.col("_list").isNotNull()).select("_list").lateralJoin(
         documents.sparkSession.tvf.variant_explode(F.col("_list").outer())

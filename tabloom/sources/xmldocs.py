@@ -25,7 +25,7 @@ def read_records(spark: SparkSession, path: str, row_tag: str, schema=None) -> D
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def _rows(doc_id, xml):
+def _rows(doc_id, xml, content):
     """Element rows of one document in document order; one error row when it is not well-formed."""
     import xml.etree.ElementTree as ET
 
@@ -46,9 +46,11 @@ def _rows(doc_id, xml):
         order += 1
         uri, _, name = node.tag[1:].partition("}") if node.tag.startswith("{") else ("", "", node.tag)
         path = f"{parent}/{name}[{index}]"
-        attrs = {k.rpartition("}")[2]: v for k, v in node.attrib.items()}
-        content = " ".join(p.strip() for p in node.itertext() if p.strip())
-        rows.append([doc_id, path, parent or "/", pos, order, order, depth, name, uri, attrs, node.text, node.tail, content, None])
+        attrs = [(k.rpartition("}")[2], v) for k, v in node.attrib.items()]
+        below = " ".join(p.strip() for p in node.itertext() if p.strip()) if content else None
+        rows.append([doc_id, path, parent or "/", pos, order, order, depth, name, uri, attrs, node.text, node.tail, below, None])
+        if not len(node):
+            continue
         stack.append((None, "", len(rows) - 1, 0, 0))
         seen, children = {}, []
         for at, child in enumerate(node, 1):
@@ -59,36 +61,37 @@ def _rows(doc_id, xml):
     return rows
 
 
-def parse_elements(documents: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+def parse_elements(documents: DataFrame, key: str = "doc_id", xml: str = "xml", content: bool = True) -> DataFrame:
     """One row per element: (doc_id, path, parent_path, pos among siblings, document order, ...).
 
     Documents are parsed independently, so the work spreads over all partitions; a document that
-    does not parse gives one row with ``error`` set and no path.
+    does not parse gives one row with ``error`` set and no path. ``content=False`` leaves
+    ``content_text`` empty, which spares the text of every ancestor.
     """
-    schema = ELEMENTS.format(key=documents.schema[key].dataType.simpleString())
-    names = [f.strip().split(" ")[0] for f in schema.replace("map<string,string>", "m").split(",")]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ELEMENTS.format(key=documents.schema[key].dataType.simpleString()))
+    arrow = to_arrow_schema(schema)
 
     def parse(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["xml"]):
-                rows += _rows(doc_id, text)
-                if len(rows) >= 20_000:
-                    yield _frame(pd, rows, names)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += _rows(doc_id, text, content)
+                if len(rows) >= 50_000:
+                    yield _batch(pa, rows, arrow)
                     rows = []
             if rows:
-                yield _frame(pd, rows, names)
+                yield _batch(pa, rows, arrow)
 
-    return documents.select(col(key).alias("doc_id"), col(xml).alias("xml")).mapInPandas(parse, schema)
+    return documents.select(col(key).alias("doc_id"), col(xml).alias("xml")).mapInArrow(parse, schema)
 
 
-def _frame(pd, rows, names):
-    frame = pd.DataFrame(rows, columns=names)
-    for c in ("pos", "ord", "last_ord", "depth"):
-        frame[c] = frame[c].astype("Int32")
-    return frame
+def _batch(pa, rows, arrow):
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 def elements(parsed: DataFrame) -> DataFrame:
