@@ -225,7 +225,7 @@ def fit_classifier(train: DataFrame, features: list[str], target: str, choice: s
     elif choice in ("linear_svc", "svm_rbf"):
         n, classes = train.agg(F.count(F.lit(1)), F.count_distinct(target)).first()
         feats = "features" if choice == "linear_svc" else "rff"
-        svc = LinearSVC(maxIter=100, regParam=1.0 / (c * n), labelCol=target, featuresCol=feats, predictionCol="prediction")
+        svc = LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / (c * n), labelCol=target, featuresCol=feats, predictionCol="prediction")
         est = svc if classes <= 2 else OneVsRest(classifier=svc, labelCol=target, featuresCol=feats, predictionCol="prediction")
         if choice == "svm_rbf":
             fourier = RandomFourier(_scale_gamma(train, features), len(features), seed=seed)

@@ -1,8 +1,10 @@
 """Exact neighbours without forming pairs.
 
-Rows are hashed into even blocks; every block of queries meets every block of base rows in one
-task, where numpy works on slices and only the reduced answer per query (k best rows, a count, a
-sum per cluster) leaves the task. Block sizes do not depend on how the values are distributed.
+Queries and base rows meet in blocks of bounded size, where numpy works on slices; only the reduced
+answer per query (k best rows, a count, a sum per cluster) leaves a task. Larger inputs are grouped
+around pivots first: by the triangle inequality a group of queries needs only the base rows whose
+distance to their pivot leaves them within reach, so far-away groups never meet. Groups are split
+by a hash of the id, so a heavy group becomes many even blocks. Nothing is approximated.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.session import cut_lineage
+
 BLOCK_ROWS = 20_000
+MAX_PIVOTS = 1_000
 SLICE_CELLS = 4_000_000  # distance cells held at once inside a task
 
 
@@ -31,17 +36,86 @@ def _blocks(n: int, rows: int, floor: int = 1) -> int:
 
 
 def blockwise(
-    queries: DataFrame, base: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, base: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+    block_rows: int = BLOCK_ROWS, k: int | None = None, eps: float | None = None,
 ) -> DataFrame:
-    """``work(query block, base block)`` for all pairs of blocks; both sides have a unique ``id``."""
-    spark = queries.sparkSession
+    """``work(query block, base block)`` for all blocks that may meet; both sides have a unique ``id``.
+
+    With ``k`` or ``eps`` and more base rows than one block holds, pivots rule out far-away groups;
+    otherwise every query block meets every base block.
+    """
     base = base.select(*[F.col(c).alias(c) for c in base.columns])  # both sides may stem from one table
     nq, nb = queries.count(), base.count()
-    cores = max(1, min(spark.sparkContext.defaultParallelism, nq // 256))
-    bq, bb = _blocks(nq, block_rows, cores), _blocks(nb, block_rows)
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(bq))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bb - 1).cast("bigint"))))
-    b = base.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(bb))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bq - 1).cast("bigint"))))
-    return q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(work, schema)
+    if nb > block_rows and (k is not None or eps is not None):
+        q, b = _pivot_groups(queries, base, nb, block_rows, k, eps)
+    else:
+        cores = max(1, min(queries.sparkSession.sparkContext.defaultParallelism, nq // 256))
+        bq, bb = _blocks(nq, block_rows, cores), _blocks(nb, block_rows)
+        q = queries.withColumn("_q", _slice_of(F.lit(bq))).withColumn("_b", F.explode(_upto(F.lit(bb)))).withColumn("_c", F.lit(0))
+        b = base.withColumn("_b", _slice_of(F.lit(bb))).withColumn("_q", F.explode(_upto(F.lit(bq)))).withColumn("_c", F.lit(0))
+    return q.groupBy("_c", "_q", "_b").cogroup(b.groupBy("_c", "_q", "_b")).applyInPandas(work, schema)
+
+
+def _slice_of(parts):
+    return F.pmod(F.xxhash64("id"), parts.cast("bigint"))
+
+
+def _upto(parts):
+    return F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)
+
+
+def _at_pivots(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the closest pivot ``_p`` and the distance to it ``_r``; the pivots are at most MAX_PIVOTS rows."""
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
+
+    schema = StructType([*df.schema.fields]).add("_p", IntegerType()).add("_r", DoubleType())
+
+    def assign(batches):
+        for batch in batches:
+            m, near, dist = _matrix(batch["v"]), [], []
+            for _, d in distance_slices(m, pivots):
+                best = d.argmin(axis=1)
+                near.append(best)
+                dist.append(d[np.arange(len(d)), best])
+            if near:
+                yield batch.assign(_p=np.concatenate(near).astype("int32"), _r=np.concatenate(dist))
+
+    return df.mapInPandas(assign, schema)
+
+
+def _pivot_groups(queries: DataFrame, base: DataFrame, nb: int, block_rows: int, k: int | None, eps: float | None) -> tuple[DataFrame, DataFrame]:
+    spark = queries.sparkSession
+    wanted = min(MAX_PIVOTS, 2 * _blocks(nb, block_rows))
+    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # MAX_PIVOTS rows at most
+    pivots = np.array([r["v"] for r in rows], dtype=np.float64)
+    q, b = cut_lineage(_at_pivots(queries, pivots)), cut_lineage(_at_pivots(base, pivots))
+    gap = np.vstack([d for _, d in distance_slices(pivots, pivots)])
+    q_stats = {r["_p"]: (r["n"], r["far"]) for r in q.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("far")).collect()}
+    b_stats = {r["_p"]: (r["n"], r["far"]) for r in b.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("far")).collect()}
+    reach = {}
+    if eps is not None:
+        reach = dict.fromkeys(q_stats, eps)
+    else:
+        w = Window.partitionBy("_p").orderBy("_r")
+        close = b.select("_p", "_r").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= k).collect()  # pivots x k numbers
+        owner, dist = np.array([r["_p"] for r in close]), np.array([r["_r"] for r in close])
+        for p, (_, far) in q_stats.items():
+            upper = gap[p, owner] + dist
+            reach[p] = far + (np.partition(upper, k - 1)[k - 1] if len(upper) >= k else np.inf)
+    pairs, sizes = [], []
+    for p, (n, far) in q_stats.items():
+        limit = (reach[p] + far) * (1 + 1e-9) + 1e-12  # a base row of pivot j matters when gap - r_b <= far + reach
+        hit = [j for j in b_stats if gap[p, j] - b_stats[j][1] <= limit]
+        parts = _blocks(sum(b_stats[j][0] for j in hit), block_rows)
+        sizes.append((int(p), _blocks(n, block_rows), parts))
+        pairs += [(int(p), int(j), float(gap[p, j]), float(limit), _blocks(n, block_rows), parts) for j in hit]
+    plan = spark.createDataFrame(sizes, "_p int, _nq int, _nb int")
+    meet = spark.createDataFrame(pairs, "_c int, _p int, _gap double, _limit double, _nq int, _nb int")
+    q = q.join(F.broadcast(plan), "_p").withColumn("_q", _slice_of(F.col("_nq"))).withColumn("_b", F.explode(_upto(F.col("_nb"))))
+    q = q.withColumn("_c", F.col("_p")).select(*queries.columns, "_c", "_q", "_b")
+    b = b.join(meet, "_p").where((F.col("_gap") - F.col("_r") <= F.col("_limit")) & (F.col("_r") - F.col("_gap") <= F.col("_limit")))
+    b = b.withColumn("_b", _slice_of(F.col("_nb"))).withColumn("_q", F.explode(_upto(F.col("_nq")))).select(*base.columns, "_c", "_q", "_b")
+    return q, b
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -77,10 +151,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 1, exclude_self: bool
         found = pd.concat(out)
         return found[found["id"] != found["neighbour"]] if exclude_self else found
 
-    hits = blockwise(queries, base, work, schema, block_rows)
-    best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))
-    return best.select("id", F.posexplode("best").alias("pos", "n")).select(
-        "id", (F.col("pos") + 1).alias("rank"), F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"))
+    hits = blockwise(queries, base, work, schema, block_rows, k=k + (1 if exclude_self else 0))
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")  # k rows per block that met the query
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
 def assign_nearest(new: DataFrame, train: DataFrame) -> DataFrame:
@@ -101,7 +174,7 @@ def kth_distance(points: DataFrame, k: int) -> DataFrame:
     return nearest(points, points, k).groupBy("id").agg(F.max("distance").alias("distance"))
 
 
-def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
+def neighbour_counts(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, number of rows within eps, itself included)."""
     id_type = points.schema["id"].dataType.simpleString()
 
@@ -112,10 +185,10 @@ def neighbour_counts(points: DataFrame, eps: float) -> DataFrame:
                 n[s : s + len(d)] = (d <= eps).sum(axis=1)
         return pd.DataFrame({"id": q["id"], "n": n})
 
-    return blockwise(points, points, work, f"id {id_type}, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return blockwise(points, points, work, f"id {id_type}, n bigint", block_rows, eps=eps).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def least_label_within(queries: DataFrame, labelled: DataFrame, eps: float) -> DataFrame:
+def least_label_within(queries: DataFrame, labelled: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, smallest label among the labelled rows within eps); rows without any are absent."""
     id_type = queries.schema["id"].dataType.simpleString()
 
@@ -131,7 +204,7 @@ def least_label_within(queries: DataFrame, labelled: DataFrame, eps: float) -> D
             out.append(pd.DataFrame({"id": qid[s : s + len(d)][hit], "label": labels[near.argmax(axis=1)[hit]]}))
         return pd.concat(out)
 
-    return blockwise(queries, labelled, work, f"id {id_type}, label bigint").groupBy("id").agg(F.min("label").alias("label"))
+    return blockwise(queries, labelled, work, f"id {id_type}, label bigint", block_rows, eps=eps).groupBy("id").agg(F.min("label").alias("label"))
 
 
 def cluster_distance_sums(points: DataFrame) -> DataFrame:

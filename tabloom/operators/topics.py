@@ -57,7 +57,7 @@ def classify_text(corpus: DataFrame, label: str, vectorizer: Vectorizer, choice:
         "logistic": lambda: LogisticRegression(maxIter=200, regParam=1.0 / n, standardization=False),
         "naive_bayes": lambda: NaiveBayes(modelType="multinomial"),
         "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed),
-        "linear_svc": lambda: LinearSVC(maxIter=100, regParam=1.0 / n) if classes <= 2 else OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1.0 / n)),
+        "linear_svc": lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / n) if classes <= 2 else OneVsRest(classifier=LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / n)),
     }[choice]()
     model = est.fit(train)
     scored = model.transform(test).select("doc_id", "label", "prediction")

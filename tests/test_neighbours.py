@@ -121,3 +121,27 @@ def test_lloyd_matches_numpy(spark):
     rows = cluster.lloyd_step(points_df(spark, pts), "v", centres).collect()
     for r in rows:
         assert r["value"] == pytest.approx(pts[near == r["cluster"]].mean(0)[r["position"]])
+
+
+@pytest.mark.parametrize("block_rows", [25, 60])
+def test_pivots_keep_all_neighbours(spark, block_rows):
+    rng = np.random.default_rng(10)
+    pts = np.vstack([rng.integers(-6, 6, (120, 4)) + c for c in (0, 40, 90)] + [np.full((60, 4), 40)]).astype(float)
+    df = points_df(spark, pts, np.arange(len(pts)))
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    got = {}
+    for r in sorted(neighbors.nearest(df, df, 3, block_rows=block_rows).collect(), key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert all(got[i] == sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:3] for i in range(len(pts)))
+    counts = {r["id"]: r["n"] for r in neighbors.neighbour_counts(df, 5.0, block_rows).collect()}
+    assert [counts[i] for i in range(len(pts))] == list((d <= 5.0).sum(1))
+    least = {r["id"]: r["label"] for r in neighbors.least_label_within(df, df.withColumn("label", F.col("payload")), 5.0, block_rows).collect()}
+    assert [least[i] for i in range(len(pts))] == [int(np.nonzero(d[i] <= 5.0)[0].min()) for i in range(len(pts))]
+
+
+def test_pivots_rule_out_far_groups(spark):
+    rng = np.random.default_rng(12)
+    pts = np.vstack([rng.normal(c, 1, (100, 3)) for c in (0, 500, 1000, 1500)])
+    df = points_df(spark, pts)
+    q, b = neighbors._pivot_groups(df, df.select("id", "v", "payload"), 400, 50, 3, None)
+    assert b.count() < 400 * 8
