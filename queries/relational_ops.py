@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import LINEITEM_NULLS, LINEITEM_TYPES, ORDERS_DUP, lineitem_nulls, orders_dup, query, table, union_all
+from tabloom.functions import scalars as sc
+from tabloom.functions import textcols as tx
 from tabloom.functions.columns import column_families
-from tabloom.operators import convert, profile
+from tabloom.operators import convert, image, profile
 from tabloom.operators import relational as rel
+from tabloom.operators.ranking import hash_rank
 
 FAMILY = {"bigint": "numeric", "int": "numeric", "double": "numeric", "string": "categorical", "timestamp_ntz": "datetime"}
 
@@ -282,3 +285,23 @@ def removed(spark, d):
 @query("u3_distinct_values", "SELECT DISTINCT p_brand FROM part")
 def distinct(spark, d):
     return rel.distinct_values(table(spark, d, "part"), "p_brand")
+
+
+@query("w6_token_windows", r"""WITH t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda w: w <> '') AS w FROM documents))
+SELECT doc_id, (i - 1)::INT AS position, gram FROM (SELECT doc_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL""")
+def token_windows(spark, d):
+    grams = tx.ngrams(sc.words(F.lower("text")), 3)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(grams).alias("position", "gram"))
+
+
+@query("w7_neighbour_pairs", """SELECT vec_id AS image_id, y, x, v, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS right_v FROM (
+SELECT vec_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.6) * 220)))::INT AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))""")
+def neighbour_pairs(spark, d):
+    from queries.image_ops import pixels
+
+    return image.horizontal_pairs(image.channel(pixels(spark, d), "r"))
+
+
+@query("w8_hash_ranks", """SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '-7'), o_orderkey) - 1 AS rank FROM orders""")
+def hash_ranks(spark, d):
+    return hash_rank(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 7, "o_orderpriority")

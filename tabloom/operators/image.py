@@ -49,11 +49,16 @@ def basic_stats(pixels: DataFrame) -> DataFrame:
     return out.withColumn("Aspect_Ratio", F.round(F.col("Width") / F.col("Height"), 3))
 
 
+def horizontal_pairs(values: DataFrame) -> DataFrame:
+    """Adds ``right_v``, the value of the right neighbour (null in the last column)."""
+    return values.withColumn("right_v", F.lead("v").over(Window.partitionBy("image_id", "y").orderBy("x")))
+
+
 def glcm(pixels: DataFrame) -> DataFrame:
     """Texture of horizontally adjacent gray levels (16 levels, symmetric): five features per image."""
-    w = Window.partitionBy("image_id", "y").orderBy("x")
+    near = horizontal_pairs(channel(pixels, "gray"))
     pairs = (
-        channel(pixels, "gray").select("image_id", F.floor(F.col("v") / GREY_LEVELS).alias("i"), F.floor(F.lead("v").over(w) / GREY_LEVELS).alias("j"))
+        near.select("image_id", F.floor(F.col("v") / GREY_LEVELS).alias("i"), F.floor(F.col("right_v") / GREY_LEVELS).alias("j"))
         .where("j IS NOT NULL").groupBy("image_id", "i", "j").agg(F.count(F.lit(1)).alias("n"))
     )
     sides = pairs.select("image_id", F.inline(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("n").alias("n")))))

@@ -20,6 +20,7 @@ from tabloom.functions.columns import col
 from tabloom.functions.scalars import preview
 from tabloom.operators import metrics
 from tabloom.operators.clean import label_encode
+from tabloom.operators.models import compact
 from tabloom.operators.relational import best_per_group, top_k_per_group
 from tabloom.operators.split import train_test_split
 from tabloom.operators.text import Vectorizer, fit_vectorizer
@@ -53,6 +54,8 @@ def classify_text(corpus: DataFrame, label: str, vectorizer: Vectorizer, choice:
     parts = train_test_split(data, "doc_id", test_size, seed, "label").persist()
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     n, classes = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if choice in ("logistic", "linear_svc"):
+        train = compact(train, n)
     est = {
         "logistic": lambda: LogisticRegression(maxIter=200, regParam=1.0 / n, standardization=False),
         "naive_bayes": lambda: NaiveBayes(modelType="multinomial"),
