@@ -50,11 +50,11 @@ def pca_scores(spark, d):
     return reduce.pca_columns(table(spark, d, "lineitem").withColumn("row", F.monotonically_increasing_id()), "row", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)[0]
 
 
-TWO = """s AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)"""
+TWO = """s AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)"""
 
 
-@query("r1_pca_two_columns", """WITH s AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb FROM lineitem)
-SELECT l_orderkey, l_partkey, round(((l_quantity - ma) / sa + (l_extendedprice - mb) / sb) / sqrt(2), 4) AS pc1 FROM lineitem, s""")
+@query("r1_pca_two_columns", """WITH s AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb, sign(corr(l_quantity, l_extendedprice)) AS g FROM lineitem)
+SELECT l_orderkey, l_partkey, round(((l_quantity - ma) / sa + g * (l_extendedprice - mb) / sb) / sqrt(2), 4) AS pc1 FROM lineitem, s""")
 def pca_two(spark, d):
     li = table(spark, d, "lineitem").withColumn("row", F.struct("l_orderkey", "l_partkey"))
     out, _ = reduce.pca_columns(li, "row", ["l_quantity", "l_extendedprice"], 1)
@@ -68,7 +68,7 @@ def explained(spark, d):
     return fit.explained(spark).withColumn("cumulative_pct", F.round("cumulative_pct", 2))
 
 
-@query("r3_loadings", "SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, round(1 / sqrt(2), 6) * sign(count(*)) AS pc1 FROM lineitem")
+@query("r3_loadings", "SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, unnest([round(1 / sqrt(2), 6), round(1 / sqrt(2), 6) * sign(corr(l_quantity, l_extendedprice))]) AS pc1 FROM lineitem")
 def loadings(spark, d):
     _, fit = reduce.pca_columns(table(spark, d, "lineitem"), "l_orderkey", ["l_quantity", "l_extendedprice"], 1)
     return fit.loading_table(spark).withColumn("pc1", F.round("pc1", 6))

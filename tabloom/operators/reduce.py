@@ -55,7 +55,9 @@ def fit_pca(df: DataFrame, vector: str, dims: int, k: int, features: list[str] |
     row = df.agg(*[F.avg(v[i]).alias(f"m{i}") for i in range(dims)]).first()
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(df.select(array_to_vector(v).alias("_f")))
     pc = model.pc.toArray()
-    signs = np.sign(pc[np.abs(pc).argmax(axis=0), np.arange(k)])
+    size = np.abs(pc)
+    lead = (size >= size.max(axis=0) * (1 - 1e-6)).argmax(axis=0)  # the first of equally large loadings
+    signs = np.sign(pc[lead, np.arange(k)])
     return PcaFit([float(row[i]) for i in range(dims)], (pc * signs).tolist(), [float(x) for x in model.explainedVariance], features or [f"x{i}" for i in range(dims)])
 
 
