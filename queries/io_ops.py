@@ -20,7 +20,7 @@ def read_csv(spark, d):
 
 @query("io2_read_json_records", """SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders""")
 def read_json(spark, d):
-    """One document per order priority group would be unbounded: documents here hold one customer's orders."""
+    """Each document holds the orders of one customer under its first list-valued key."""
     o = table(spark, d, "orders")
     docs = o.groupBy("o_custkey").agg(F.to_json(F.struct(
         F.lit("orders of a customer").alias("note"),
