@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, rules, simhash, token_scan
+from tabloom.llm import bpe, gam, html_text, imatch, langid, mixing, rules, simhash, token_scan, url_filter
 from tabloom.llm.blocks import read_documents
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir))
 
 
+@query
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(read_documents(spark, sf_dir))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_documents(spark, sf_dir))
@@ -40,3 +45,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rows, "v2")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
+
+
+@query
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_documents(spark, sf_dir))
+
+
+@query
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
