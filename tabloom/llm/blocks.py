@@ -23,7 +23,7 @@ def cut(batch: pa.RecordBatch, column: str = "text", max_bytes: int = BLOCK_BYTE
             yield batch.slice(a, b - a)
 
 
-def map_blocks(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, column: str = "text") -> DataFrame:
+def map_blocks(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, column: str = "text") -> DataFrame:
     """``fn()`` makes one function per task; it turns each block into rows of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,6 +46,24 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], column: str = "text") -> DataFrame:
+    """Rows of ``df`` with all their columns; ``fn()`` makes one function per task that marks the rows of a block to keep."""
+
+    def make():
+        marks = fn()
+        return lambda block: block.filter(pa.array(marks(block), pa.bool_()))
+
+    return map_blocks(df, make, df.schema, column)
+
+
 def read_documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.blocks import as_bytes, map_blocks, texts_of
+from tabloom.llm.blocks import as_bytes, keep_rows, map_blocks, texts_of
 from tabloom.llm.textstats import Flat, repeated_windows, table_of
 
 SAMPLE = 20_000  # labelled rows to learn from
@@ -184,44 +184,41 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def measured(docs: DataFrame, *carry: str) -> DataFrame:
-    """The ``carry`` columns and an array of the features of every text."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, quality and an array of the features of every text."""
     def make():
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
             x = features(as_bytes(block.column("text")))
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            return pa.RecordBatch.from_arrays([*[block.column(c) for c in carry], values], [*carry, "x"])
+            return pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("quality"), values], ["doc_id", "quality", "x"])
 
         return work
 
-    types = dict(docs.dtypes)
-    return map_blocks(texts_of(docs, *carry), make, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", x array<double>")
+    return map_blocks(texts_of(docs, "doc_id", "quality"), make, "doc_id bigint, quality int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn ``labels`` (doc_id, quality) on ``docs``, without the documents that are held out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int"))
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
     chosen = known.where(place < sample / max(n, 1))  # about ``sample`` rows, so small enough to send to every task
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    table = measured(rows, "doc_id", "quality").orderBy("doc_id", "quality", "x").toArrow()
+    table = measured(rows).orderBy("doc_id", "quality", "x").toArrow()
     x = np.array(table["x"].to_pylist(), dtype=float).reshape(len(table), len(FEATURES))
     return fit(x, (table["quality"].to_numpy() > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and the score of every row."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row."""
     def make():
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
             value = model.score(features(as_bytes(block.column("text"))))
-            return pa.RecordBatch.from_arrays([*[block.column(c) for c in carry], pa.array(value)], [*carry, "score"])
+            return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(value)], ["doc_id", "score"])
 
         return work
 
-    types = dict(docs.dtypes)
-    source = docs.select(*carry) if "text" in carry else texts_of(docs, *carry)
-    return map_blocks(source, make, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", score double")
+    return map_blocks(texts_of(docs, "doc_id"), make, "doc_id bigint, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -232,5 +229,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` with a score of at least the threshold."""
-    columns = tuple(docs.columns)
-    return score(docs, train(docs, labels), columns).where(F.col("score") >= THRESHOLD).select(*columns)
+    model = train(docs, labels)
+    return keep_rows(docs, lambda: lambda block: model.score(features(as_bytes(block.column("text")))) >= THRESHOLD)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.blocks import as_texts, cut, map_blocks, texts_of
+from tabloom.llm.blocks import as_texts, cut, keep_rows, map_blocks, texts_of
 from tabloom.session import cut_lineage
 
 START = "▁"  # the vocabulary's mark of a word start
@@ -247,28 +247,36 @@ class Scorer:
         return sums, (sums < 0).any(axis=1)  # any word of letters has a probability below 1
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with lang_pred and score, the probability of that language given that all are equally likely."""
+def judged(model: Model):
+    """A function from texts to (position of the language, score); the position after the last language is ``und``."""
+    scorer = Scorer(model) if model.languages else None
+
+    def work(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
+        if scorer is not None and texts:
+            logs, has = scorer.score(texts)
+            weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+            best = np.where(has, logs.argmax(axis=1), best)
+            score = np.where(has, weight.max(axis=1) / weight.sum(axis=1), 0.0)
+        return best, score
+
+    return work
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score); the score is the probability of the language given that all are equally likely."""
     languages = np.array([*model.languages, UND], dtype=object)
 
     def make():
-        scorer = Scorer(model) if model.languages else None
+        judge = judged(model)
 
         def work(block: pa.RecordBatch) -> pa.RecordBatch:
-            texts = as_texts(block.column("text"))
-            best, score = np.full(len(texts), len(languages) - 1), np.zeros(len(texts))
-            if scorer is not None:
-                logs, has = scorer.score(texts)
-                weight = np.exp(logs - logs.max(axis=1, keepdims=True))
-                best = np.where(has, logs.argmax(axis=1), best)
-                score = np.where(has, weight.max(axis=1) / weight.sum(axis=1), 0.0)
-            return pa.RecordBatch.from_arrays([*[block.column(c) for c in carry], pa.array(languages[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
+            best, score = judge(as_texts(block.column("text")))
+            return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(languages[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
         return work
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", lang_pred string, score double"
-    return map_blocks(texts_of(docs, *carry) if "text" not in carry else docs.select(*carry), make, schema)
+    return map_blocks(texts_of(docs, "doc_id"), make, "doc_id bigint, lang_pred string, score double")
 
 
 def held_out() -> Column:
@@ -285,5 +293,14 @@ def identify(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) ->
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is recognised with a score of at least ``least``."""
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    columns = tuple(docs.columns)
-    return predict(docs, model, columns).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*columns)
+
+    def make():
+        judge = judged(model)
+
+        def keep(block: pa.RecordBatch) -> np.ndarray:
+            best, score = judge(as_texts(block.column("text")))
+            return (best < len(model.languages)) & (score >= least)
+
+        return keep
+
+    return keep_rows(docs, make)

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm.blocks import fresh
 from tabloom.session import cut_lineage
 
 SLICES = 1 << 14  # slices of the rank; the cut orders one of them
@@ -118,12 +119,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     """Rows of ``docs`` as often as the mix takes them. Equal keys are numbered within the key, where the texts meet
     the decisions; so the texts are moved once.
     """
-    key = F.to_json(F.struct("doc_id", "source", "size"))
+    key, nth, times, copy = (fresh(docs, n) for n in ("mix_key", "mix_nth", "mix_times", "mix_copy"))
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    decided = mix(docs, weights, most).select(key.alias("_key"), F.struct("nth", copies.alias("copies")).alias("d"))
-    decided = decided.groupBy("_key").agg(F.sort_array(F.collect_list("d")).alias("_all")).select("_key", F.col("_all.copies").alias("_copies"))
-    named = docs.withColumn("_key", F.to_json(F.struct("doc_id", "source", n_words(F.col("text")).alias("size"))))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    rows = named.withColumn("_nth", nth).join(decided, "_key")
-    times = F.get("_copies", F.col("_nth") - 1)
-    return rows.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+    decided = mix(docs, weights, most).select(F.to_json(F.struct("doc_id", "source", "size")).alias(key), F.struct("nth", copies.alias("copies")).alias("d"))
+    decided = decided.groupBy(key).agg(F.sort_array(F.collect_list("d")).alias("all")).select(key, F.col("all.copies").alias(times))
+    named = docs.withColumn(key, F.to_json(F.struct("doc_id", "source", n_words(F.col("text")).alias("size"))))
+    rows = named.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).join(decided, key)
+    wanted = F.get(times, F.col(nth) - 1)
+    return rows.where(wanted > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), wanted)).alias(copy)).drop(copy)

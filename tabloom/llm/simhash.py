@@ -180,11 +180,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, shing
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id names its component; equal ids keep one row. Documents without an id are kept
-    where no row with an id shares their component: one row of each such component.
-    """
-    found = near_duplicates(docs)
-    first = found.groupBy("component_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    chosen = first.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """Rows of ``docs`` whose id names its component; of rows with equal ids one. Rows without an id stay."""
+    names = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -64,9 +64,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, blo
                 rows = [(np.array(encode(t), dtype=np.int64) + 1).astype("<u2").tobytes() for t in as_texts(part.column("text"))]
                 written += sum(map(len, rows)) + 2 * len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
-        if written % block:
+        rest = -written % block
+        if rest:
             # The filling is one more row; the writer closes it with a separator like any other.
-            fill = np.full((block - written % block - 2) // 2, PAD, dtype="<u2").tobytes()
+            fill = np.full((rest + block * (rest == 2)) // 2 - 1, PAD, dtype="<u2").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([fill], pa.binary())], ["value"])
 
     rows = docs.select("text").mapInArrow(run, "value binary").select(F.col("value").cast("string"))
