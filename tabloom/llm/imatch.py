@@ -30,14 +30,15 @@ from tabloom.session import cut_lineage
 BAND = (0.002, 0.05)  # shares of documents between which a term's document frequency lies
 LISTS = 1 << 14  # short lists that the lexicon is arranged in
 PER_DENSITY = 16  # subsets of each density
-DENSITIES = (3, 5, 7, 10)  # a subset holds one in 2**d terms
+DENSITIES = (4, 6, 8, 10)  # a subset holds one in 2**d terms
+NONE = 42  # hash of no terms
 FEW = 4  # subsets that must be met in a density before its share counts
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased words of a text."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.transform(F.array_distinct(F.array_remove(words, "")), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
@@ -70,24 +71,23 @@ def memberships(term: Column) -> Column:
     return out
 
 
-def _in_subset(bit: Column) -> Callable[[Column], Column]:
-    return lambda member: member["m"].bitwiseAND(bit) != 0
+def _in_any(bits: int) -> Callable[[Column], Column]:
+    bits = bits - (1 << 64) if bits >> 63 else bits
+    return lambda member: member["m"].bitwiseAND(F.lit(bits)) != 0
 
 
 def with_hashes(docs: DataFrame, text: str, lists: Column, name: str) -> DataFrame:
-    """``docs`` with ``name``: 64 hashes of the text's lexicon terms, one per subset; 0 where it has no term of the subset.
+    """``docs`` with ``name``: 64 hashes of the text's sorted lexicon terms, one per subset; NONE where it has no term of the subset.
 
-    The terms are a column of their own first, so that they are worked out once and not per subset.
+    Terms, and those of each density, are columns of their own first: the terms are worked out once,
+    and a thin subset is looked for only among the few terms that are in any of its density.
     """
     known = F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get(lists, F.pmod(t, F.lit(LISTS)).cast("int")), t))
-    member = F.transform(F.array_sort(known), lambda t: F.struct(t.alias("t"), memberships(t).alias("m")))
-    each = []
-    for k in range(PER_DENSITY * len(DENSITIES)):
-        bit = F.lit(1 << k if k < 63 else -(1 << 63))
-        inside = _in_subset(bit)
-        chosen = F.filter("_members", inside)
-        each.append(F.when(F.exists("_members", inside), F.hash(F.transform(chosen, lambda x: x["t"]))).otherwise(F.lit(0)))
-    return docs.withColumn("_members", F.filter(member, lambda x: x["m"] != 0)).withColumn(name, F.array(*each)).drop("_members")
+    out = docs.withColumn("_members", F.transform(F.array_sort(known), lambda t: F.struct(t.alias("t"), memberships(t).alias("m"))))
+    groups = {f"_density{d}": ((1 << PER_DENSITY) - 1) << (PER_DENSITY * k) for k, d in enumerate(DENSITIES)}
+    out = out.withColumns({group: F.filter("_members", _in_any(bits)) for group, bits in groups.items()})
+    each = [F.hash(F.filter(group, _in_any(1 << (PER_DENSITY * k + i)))) for k, group in enumerate(groups) for i in range(PER_DENSITY)]
+    return out.withColumn(name, F.array(*each)).drop("_members", *groups)
 
 
 def as_string(values: Column) -> Column:
@@ -102,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
     that meet no subset at all are alike.
     """
     def share(start: int, length: int, least: int) -> Column:
-        pairs = F.filter(F.arrays_zip(F.slice(a, start + 1, length).alias("a"), F.slice(b, start + 1, length).alias("b")), lambda p: (p["a"] != 0) | (p["b"] != 0))
+        pairs = F.filter(F.arrays_zip(F.slice(a, start + 1, length).alias("a"), F.slice(b, start + 1, length).alias("b")), lambda p: (p["a"] != NONE) | (p["b"] != NONE))
         same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
         return F.when(F.size(pairs) >= least, same / F.size(pairs))
 
