@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, gam, html_text, imatch, langid, mixing, rules, simhash, token_scan, url_filter
 from tabloom.llm.blocks import read_documents
+from tabloom.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):

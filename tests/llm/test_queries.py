@@ -43,3 +43,16 @@ def test_pipeline(spark):
     whole = corpus_pipeline.run(spark, SF)
     assert whole.count() == before.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "simhash_near_dedup", "mix_sources", "bpe"]
+
+
+def test_url_sql_follows_links(spark):
+    import duckdb
+
+    from tabloom.llm import url_filter
+    from tests.llm.test_corpus import PAGES
+
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    problem, _ = compare(url_filter.judge(pages), SQL["op10_url_filter"], con)
+    assert problem is None, problem
