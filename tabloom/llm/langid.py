@@ -61,35 +61,72 @@ def words_of(token: str) -> list[str]:
     runs = [token] if token.isalpha() and len(token) <= LONGEST else LETTERS.findall(token)
     out = []
     for run in runs:
-        letters = "".join(filter(str.isalpha, run))  # the class above also has numerals that are no letters
+        letters = run if run.isalpha() else "".join(filter(str.isalpha, run))  # the class above also has numerals that are no letters
         out.extend(START * (i == 0) + letters[i:i + LONGEST] for i in range(0, len(letters), LONGEST))
     return out
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(position, word) matrix of code points plus one, 0 behind a word's end, and the words' lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.zeros((int(sizes.max(initial=0)), len(words)), dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    column = np.repeat(np.arange(len(words)), sizes)
+    out[np.arange(len(column)) - np.repeat(starts, sizes), column] = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    return out, sizes
+
+
+class Tables:
+    """Pieces by length: sorted 64-bit polynomial hashes and the pieces' numbers. No two pieces share a hash."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.size = len(pieces)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths: dict[int, list[str]] = {}
+        for name in pieces:
+            lengths.setdefault(len(name), []).append(name)
+        self.longest = max(lengths, default=0)
+        for n, names in lengths.items():
+            matrix, _ = characters(names)
+            key = np.zeros(len(names), dtype=np.uint64)
+            for row in matrix:
+                key = key * BASE + row
+            order = np.argsort(key)
+            if len(np.unique(key)) < len(key):
+                raise ValueError("two pieces share a hash")
+            self.by_length[n] = key[order], np.array([pieces[x] for x in names])[order]
+
+
 class Lattice:
-    """All pieces in many words: for every end position and piece length, the piece or the unknown one."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        none, unknown = len(pieces) + 1, len(pieces)
-        self.sizes = np.array([len(w) for w in words])
-        width = int(self.sizes.max())
-        self.ids = np.full((width + 1, longest + 1, len(words)), none, dtype=np.int32)
-        get = pieces.get
-        at, values = [], []
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                for j in range(i + 1, min(i + longest, n) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        at.append((j, j - i, k))
-                        values.append(p)
-                    elif j == i + 1:
-                        at.append((j, 1, k))
-                        values.append(unknown)
-        if at:
-            a = np.array(at)
-            self.ids[a[:, 0], a[:, 1], a[:, 2]] = values
+    """All pieces in many words: for every end position and piece length, the piece or the unknown one.
+
+    The hash of every part of a word follows from that of the part one shorter; parts of one length
+    are looked up at once by binary search.
+    """
+
+    def __init__(self, words: list[str], tables: Tables):
+        matrix, self.sizes = characters(words)
+        width, longest = len(matrix), min(tables.longest, len(matrix))
+        none, unknown = tables.size + 1, tables.size
+        self.ids = np.full((width + 1, max(longest, 1) + 1, len(words)), none, dtype=np.int32)
+        inside = np.arange(1, width + 1)[:, None] <= self.sizes
+        key = np.zeros((width + 1, len(words)), dtype=np.uint64)
+        for n in range(1, max(longest, 1) + 1):
+            key[n:] = key[n - 1:-1] * BASE + matrix[n - 1:]
+            ends = inside[n - 1:]
+            if n == 1:
+                self.ids[1:, 1][ends] = unknown
+            keys, values = tables.by_length.get(n, (None, None))
+            if keys is None:
+                continue
+            part = key[n:][ends]
+            at = np.searchsorted(keys, part)
+            at[at == len(keys)] = 0
+            found = self.ids[n:, n][ends]
+            self.ids[n:, n][ends] = np.where(keys[at] == part, values[at], found)
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """(position, word, language): summed probability of all cuts of the first characters."""
@@ -127,12 +164,12 @@ class Lattice:
         return out
 
 
-def lattices(words: list[str], pieces: dict[str, int], longest: int, size: int = 4_000):
+def lattices(words: list[str], tables: Tables, size: int = 4_000):
     """(indices, lattice) over words of similar length, so that little is padded."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     for at in range(0, len(order), size):
         chosen = order[at:at + size]
-        yield chosen, Lattice([words[k] for k in chosen], pieces, longest)
+        yield chosen, Lattice([words[k] for k in chosen], tables)
 
 
 class Model:
@@ -153,7 +190,6 @@ def fit(train: DataFrame, path: str | None = None, sample: int = SAMPLE, rounds:
     """Learn from ``train`` (doc_id, text, lang): at most about ``sample`` documents of each language, whole."""
     path = path or default_path()
     pieces = load_pieces(path)
-    longest = max(map(len, pieces))
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
@@ -183,10 +219,10 @@ def fit(train: DataFrame, path: str | None = None, sample: int = SAMPLE, rounds:
 
     def step(prob):
         def run(batches):
-            uses = np.zeros_like(prob)
+            uses, tables = np.zeros_like(prob), Tables(pieces)
             for batch in batches:
                 lang, word, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "word", "n"))
-                for chosen, lattice in lattices(list(word), pieces, longest):
+                for chosen, lattice in lattices(list(word), tables):
                     counts = np.zeros((len(chosen), len(languages)))
                     counts[np.arange(len(chosen)), lang[chosen]] = n[chosen]
                     uses += lattice.expected(prob, counts)
@@ -209,8 +245,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.pieces = load_pieces(model.path)
-        self.longest = max(map(len, self.pieces))
+        self.tables = Tables(load_pieces(model.path))
         self.index: dict[str, int] = {}
         self.values = np.zeros((0, len(model.languages)))
 
@@ -218,7 +253,7 @@ class Scorer:
         parts = [words_of(t) for t in tokens]
         words = list(dict.fromkeys(chain.from_iterable(parts)))
         logs = np.zeros((len(words), len(self.model.languages)))
-        for chosen, lattice in lattices(words, self.pieces, self.longest):
+        for chosen, lattice in lattices(words, self.tables):
             logs[chosen] = np.log(lattice.totals(lattice.forward(self.model.prob)))
         at = {w: i for i, w in enumerate(words)}
         flat = np.fromiter((at[w] for p in parts for w in p), np.int64)

@@ -268,7 +268,7 @@ def test_forward_sums_all_segmentations():
         return total
 
     words = ["▁a", "▁abab", "aba", "▁xyz", "▁ababab"]
-    lattice = langid.Lattice(words, pieces, 3)
+    lattice = langid.Lattice(words, langid.Tables(pieces))
     got = lattice.totals(lattice.forward(prob))
     assert np.allclose(got, [all_ways(w) for w in words], rtol=1e-12)
     uses = lattice.expected(prob, np.ones((len(words), 2)))
