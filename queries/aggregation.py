@@ -47,20 +47,30 @@ def column_types(spark, d):
     return profile.column_types(lineitem_nulls(spark, d))
 
 
-@query("a4_describe_all", f"WITH {LINEITEM_NULLS} " + union_all([
-    f"""SELECT '{c}' AS "column", count({c}) AS "count", count(DISTINCT {c}) AS "unique",
-    (SELECT {c} FROM lineitem_nulls WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top,
-    (SELECT count(*) FROM lineitem_nulls WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS freq,
+def describe_sql(relation, texts, numbers, dates):
+    return union_all([
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", count(DISTINCT {c}) AS "unique",
+    (SELECT {c}::VARCHAR FROM {relation} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1) AS top,
+    (SELECT count(*) FROM {relation} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS freq,
     NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS "min", NULL::DOUBLE AS q25, NULL::DOUBLE AS q50,
-    NULL::DOUBLE AS q75, NULL::DOUBLE AS "max" FROM lineitem_nulls""" for c in ("l_returnflag", "l_linestatus")] + [
-    f"""SELECT '{c}', count({c}), NULL, NULL, NULL, round(avg({c}), 4), round(stddev_samp({c}), 4), min({c})::DOUBLE,
-    round(quantile_cont({c}::DOUBLE, 0.25), 4), round(quantile_cont({c}::DOUBLE, 0.5), 4),
-    round(quantile_cont({c}::DOUBLE, 0.75), 4), max({c})::DOUBLE FROM lineitem_nulls""" for c in LINEITEM_NUMERIC]))
+    NULL::DOUBLE AS q75, NULL::DOUBLE AS "max" FROM {relation}""" for c in texts] + [
+        f"""SELECT '{c}', count({c}), NULL, NULL, NULL, round(avg({v}), 4), {std}, min({v}),
+    round(quantile_cont({v}, 0.25), 4), round(quantile_cont({v}, 0.5), 4), round(quantile_cont({v}, 0.75), 4), max({v}) FROM {relation}"""
+        for c, v, std in [(c, f"{c}::DOUBLE", f"round(stddev_samp({c}), 4)") for c in numbers] + [(c, f"epoch({c})", "NULL") for c in dates]])
+
+
+@query("a4_describe_all", f"WITH {LINEITEM_NULLS} " + describe_sql("lineitem_nulls", ["l_returnflag", "l_linestatus"], LINEITEM_NUMERIC, ["l_shipdate"]))
 def describe(spark, d):
     out = profile.describe_all(lineitem_nulls(spark, d))
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
+@query("a4_describe_booleans", "WITH o AS (SELECT o_totalprice > 100000 AS dear, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus = 'F' END AS done, o_orderdate FROM orders) " + describe_sql("o", ["dear", "done"], [], ["o_orderdate"]))
+def describe_booleans(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_totalprice") > 100000).alias("dear"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus") == "F").alias("done"), "o_orderdate")
+    return profile.describe_all(o).withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
 @query("a5_missing_value_summary", f"WITH {LINEITEM_NULLS} SELECT * FROM (" + union_all([
     f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing,
     round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct FROM lineitem_nulls""" for c in COLS]) + ") WHERE missing > 0")
@@ -137,12 +147,11 @@ def daily_mean(spark, d):
     return out.select(F.col("day").cast("string").alias("day"), F.round("mean", 6).alias("mean"))
 
 
-@query("a13_daily_count", """WITH e AS (SELECT ts FROM events WHERE event_type = 'purchase'),
+@query("a13_daily_count", """WITH e AS (SELECT ts FROM events),
 c AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM e)
 SELECT strftime(c.day, '%Y-%m-%d') AS day, count(e.ts) AS "count" FROM c LEFT JOIN e ON e.ts::DATE = c.day GROUP BY 1""")
 def daily_count(spark, d):
-    e = table(spark, d, "events").where("event_type = 'purchase'")
-    return profile.daily_count(e, "ts").withColumn("day", F.col("day").cast("string"))
+    return profile.daily_count(table(spark, d, "events"), "ts").withColumn("day", F.col("day").cast("string"))
 
 
 CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.session import cut_lineage
 from queries.base import query, table
 from tabloom.operators import cluster, density, neighbors, profile, reduce
 from tabloom.operators.clean import scale_for_clustering
@@ -92,8 +93,9 @@ def part_vectors(spark, d):
 @query("k1_k_means")
 def k_means(spark, d):
     data = cluster.from_arrays(vectors(spark, d), "v").persist()
-    fit = cluster.k_means(data, 10, n_init=3)
-    return fit.transform(data).select("id", "cluster")
+    out = cut_lineage(cluster.k_means(data, 10).transform(data).select("id", "cluster"))
+    data.unpersist()
+    return out
 
 
 CENTRES = [[5.0, 20000.0], [25.0, 40000.0], [45.0, 80000.0]]

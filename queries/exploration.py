@@ -133,10 +133,13 @@ def chart_box(spark, d):
     return out.select("key", F.round("q1", 4).alias("q1"), F.round("median", 4).alias("median"), "count")
 
 
-@query("e6_chart_heatmap", """SELECT p_brand, round(avg(p_retailprice) FILTER (p_type = 'ECONOMY'), 4) AS "ECONOMY", round(avg(p_retailprice) FILTER (p_type = 'STANDARD'), 4) AS "STANDARD" FROM part GROUP BY 1""")
+P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query("e6_chart_heatmap", "SELECT p_brand, " + ", ".join(f"round(avg(p_retailprice) FILTER (p_type = '{t}'), 4) AS \"{t}\"" for t in P_TYPES) + " FROM part GROUP BY 1")
 def chart_heatmap(spark, d):
-    out = explore.chart_data(table(spark, d, "part"), "heatmap", "p_type", "p_brand", value="p_retailprice", levels=["ECONOMY", "STANDARD"])
-    return out.withColumns({c: F.round(c, 4) for c in ("ECONOMY", "STANDARD")})
+    out = explore.chart_data(table(spark, d, "part"), "heatmap", "p_type", "p_brand", value="p_retailprice", levels=P_TYPES)
+    return out.withColumns({c: F.round(c, 4) for c in P_TYPES})
 
 
 @query("e7_multi_series", f"""WITH {LINEITEM_NULLS}, k AS (SELECT l_shipdate::VARCHAR AS day, l_quantity, l_discount FROM lineitem_nulls WHERE l_quantity IS NOT NULL)

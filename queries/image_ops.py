@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.base import query, table
+from queries.base import SQL, query, table
 from queries.io_ops import png_files
 from tabloom.operators import image, metrics, models
 from tabloom.sources import archives, files
@@ -74,15 +74,13 @@ def hu(spark, d):
 
 
 def grad_sql(side, centre):
-    """Neighbours by self-joins on mirrored coordinates: another route than the windows."""
-    at = lambda dx, dy: f"n{dx + 1}{dy + 1}.gray"
-    mirror = lambda c, k: f"CASE WHEN p.{c} + ({k}) < 0 THEN 1 WHEN p.{c} + ({k}) > 7 THEN 6 ELSE p.{c} + ({k}) END"
-    joins = " ".join(
-        f"JOIN px n{dx + 1}{dy + 1} ON n{dx + 1}{dy + 1}.image_id = p.image_id AND n{dx + 1}{dy + 1}.x = {mirror('x', dx)} AND n{dx + 1}{dy + 1}.y = {mirror('y', dy)}"
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0))
+    """Neighbours by position in one list per image, with mirrored coordinates: another route than the windows."""
+    mirror = lambda c, k: f"CASE WHEN {c} + ({k}) < 0 THEN 1 WHEN {c} + ({k}) > 7 THEN 6 ELSE {c} + ({k}) END"
+    at = lambda dx, dy: f"g[({mirror('y', dy)}) * 8 + ({mirror('x', dx)}) + 1]"
     gx = f"({side} * ({at(1, -1)} - {at(-1, -1)}) + {centre} * ({at(1, 0)} - {at(-1, 0)}) + {side} * ({at(1, 1)} - {at(-1, 1)}))::DOUBLE"
     gy = f"({side} * ({at(-1, 1)} - {at(-1, -1)}) + {centre} * ({at(0, 1)} - {at(0, -1)}) + {side} * ({at(1, 1)} - {at(1, -1)}))::DOUBLE"
-    return f"{PX}, gr AS (SELECT p.image_id, p.y, p.x, {gx} AS gx, {gy} AS gy FROM px p {joins})"
+    return f"""{PX}, im AS (SELECT image_id, list(gray ORDER BY y, x) AS g FROM px GROUP BY 1), pos AS (SELECT image_id, g, y::INT AS y, x::INT AS x FROM im, range(8) a(y), range(8) b(x)),
+gr AS (SELECT image_id, y, x, {gx} AS gx, {gy} AS gy FROM pos)"""
 
 
 @query("im7_gradient_edge_ratio", f"WITH {grad_sql(1, 2)} SELECT image_id, round(avg((sqrt(gx * gx + gy * gy) >= 100)::INT), 4) AS gradient_edge_ratio FROM gr GROUP BY 1")
@@ -95,9 +93,9 @@ def histogram(spark, d):
     return image.intensity_histogram(pixels(spark, d))
 
 
-@query("im8_log_histogram", f'WITH {PX} SELECT image_id, gray AS value, round(ln(1 + count(*)), 6) AS "count" FROM px GROUP BY 1, 2')
+@query("im8_log_histogram", f'WITH {PX} SELECT image_id, channel, value, round(ln(1 + count(*)), 6) AS "count" FROM (' + " UNION ALL ".join(f"SELECT image_id, '{c}' AS channel, {c} AS value FROM px" for c in ("r", "g", "b", "gray")) + ") GROUP BY 1, 2, 3")
 def log_histogram(spark, d):
-    return image.intensity_histogram(pixels(spark, d), True).where("channel = 'gray'").select("image_id", "value", F.round("count", 6).alias("count"))
+    return image.intensity_histogram(pixels(spark, d), True).withColumn("count", F.round("count", 6))
 
 
 @query("im9_orientation_histogram", f"""WITH {grad_sql(1, 2)} SELECT image_id, least(floor(CASE WHEN degrees(atan2(gy, gx)) < 0 THEN degrees(atan2(gy, gx)) + 360 ELSE degrees(atan2(gy, gx)) END / 40.0::DOUBLE), 8)::INT AS bin,
@@ -168,10 +166,10 @@ def regions(spark, d):
     return image.object_regions(pixels(spark, d), 3)
 
 
-@query("im16_feature_table", f"""WITH {grad_sql(1, 2)}, a AS (SELECT image_id, round(avg(gray), 2) AS "Gray_Mean", round(stddev_pop(r), 2) AS "Red_Std" FROM px GROUP BY 1)
-SELECT image_id, "Gray_Mean", "Red_Std", round(avg((sqrt(gx * gx + gy * gy) >= 100)::INT), 4) AS gradient_edge_ratio FROM gr JOIN a USING (image_id) GROUP BY 1, 2, 3""")
+@query("im16_feature_table", "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + (" USING (image_id)" if i else "") for i, n in enumerate(
+    ("im2_channel_stats", "im3_gray_skewness", "im5_glcm", "im6_hu_moments", "im7_gradient_edge_ratio"))))
 def feature_table(spark, d):
-    return image.feature_table(pixels(spark, d)).select("image_id", "Gray_Mean", "Red_Std", "gradient_edge_ratio")
+    return image.feature_table(pixels(spark, d))
 
 
 @query("im17_image_classifier")

@@ -38,16 +38,19 @@ def read_json_lists(spark, d):
 
 def nested_orders(spark, d):
     li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))), 1, 3).alias("items"))
+        F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))).alias("items"))
     o = table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("customer"))
     return o.join(li, "o_orderkey").select(F.to_json(F.struct("o_orderkey", "customer", "items")).alias("value"))
 
 
-@query("io3_flatten_nested", """SELECT o_orderkey, o_custkey AS customer__key, o_orderstatus AS customer__status, i[1].p AS items__0__part, i[1].q AS items__0__qty,
-i[2].p AS items__1__part, i[2].q AS items__1__qty, i[3].p AS items__2__part, i[3].q AS items__2__qty
-FROM orders JOIN (SELECT l_orderkey, list_sort(list({'p': l_partkey, 'q': l_quantity})) AS i FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("io3_flatten_nested", """SELECT o_orderkey, o_custkey AS customer__key, o_orderstatus AS customer__status,
+(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_quantity) - 1)::INT AS item, l_partkey AS part, l_quantity AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def flatten(spark, d):
-    return files.flatten_nested(files.typed_records(files.parse_lines(nested_orders(spark, d))))
+    """All items of every order; the flat columns are turned into rows again, as their number follows the data."""
+    flat = files.flatten_nested(files.typed_records(files.parse_lines(nested_orders(spark, d))))
+    places = sum(c.endswith("__part") for c in flat.columns)
+    items = F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"items__{i}__part").alias("part"), F.col(f"items__{i}__qty").cast("double").alias("qty")) for i in range(places)])
+    return flat.select("o_orderkey", "customer__key", "customer__status", F.inline(items)).where("part IS NOT NULL")
 
 
 @query("io4_read_text_lines", r"""SELECT text, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\r\n|\r|\n')), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text FROM conversations) WHERE text <> '' GROUP BY 1""")
@@ -132,7 +135,7 @@ def zip_last(spark, d):
 def write_csv(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     path = files.write_csv(docs, files.scratch_path(spark, "out-csv"))
-    return files.read_csv(spark, path, docs.schema).select("doc_id", F.md5("text").alias("digest"), "lang")
+    return files.read_csv(spark, path, docs.schema, multiLine=True).select("doc_id", F.md5("text").alias("digest"), "lang")
 
 
 @query("io13_write_json", "SELECT doc_id, md5(text) AS digest FROM documents")

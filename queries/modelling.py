@@ -168,7 +168,7 @@ _classifier("l1_logistic", "logistic")
 _classifier("l3_svm_rbf", "svm_rbf")
 _classifier("l4_linear_svc", "linear_svc")
 _classifier("l5_decision_tree", "decision_tree")
-_classifier("l6_random_forest", "random_forest", trees=20)
+_classifier("l6_random_forest", "random_forest")
 
 FEAT_SQL = """f AS (SELECT doc_id, quality, toxic, n_chars::DOUBLE AS chars, len(string_split(text, ' '))::DOUBLE AS blanks, len(string_split(text, chr(10)))::DOUBLE AS lines, len(string_split(text, '.'))::DOUBLE AS sentences FROM documents JOIN labels USING (doc_id))"""
 
@@ -236,7 +236,7 @@ def cv_accuracy(spark, d):
 @query("l10_feature_importances")
 def importances(spark, d):
     data = label_rows(spark, d).withColumn("quality", F.col("quality").cast("double"))
-    return models.feature_importances(spark, models.fit_classifier(data, FEATS, "quality", "random_forest", trees=10))
+    return models.feature_importances(spark, models.fit_classifier(data, FEATS, "quality", "random_forest"))
 
 
 @query("l11_decide_classification_model", union_all([f"SELECT '{t}' AS name, CASE WHEN count(*) < 150 THEN 'logistic' ELSE 'random_forest' END AS model_choice FROM {t}" for t in SIZES]))

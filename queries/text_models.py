@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queries.base import corpus, query, table
 from tabloom.operators import reduce, text, topics
+from tabloom.session import cut_lineage
 
 
 def make_letter_model():
@@ -28,7 +29,8 @@ def embed(spark, d):
 
 @query("n22_embed_word2vec")
 def word2vec(spark, d):
-    return topics.embed_word2vec(table(spark, d, "conversations").withColumn("doc_id", F.monotonically_increasing_id()), 16).select("doc_id", F.size("vector").alias("dims"))
+    turns = table(spark, d, "conversations").withColumn("doc_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return topics.embed_word2vec(turns, 16).select("doc_id", F.posexplode("vector").alias("position", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("n23_projection_rows")
@@ -41,25 +43,25 @@ def projection(spark, d):
 @query("n24_text_classification")
 def classify(spark, d):
     docs = table(spark, d, "documents")
-    return topics.classify_text(docs, "lang", text.fit_vectorizer(docs, "tfidf", max_features=1000))["report"]
+    return topics.classify_text(docs, "lang", text.fit_vectorizer(docs, "tfidf"))["report"]
 
 
 @query("n24_text_classification_nb")
 def classify_nb(spark, d):
     docs = table(spark, d, "documents")
-    return topics.classify_text(docs, "lang", text.fit_vectorizer(docs, "count", max_features=1000), "naive_bayes")["report"]
+    return topics.classify_text(docs, "lang", text.fit_vectorizer(docs, "count"), "naive_bayes")["report"]
 
 
 def lda_fit(spark, d):
     c = corpus(spark, d)
-    fitted = text.fit_vectorizer(c, "count", max_features=500)
-    return topics.fit_lda(fitted.vectors(c).persist(), fitted.vocabulary, 4, 10)
+    fitted = text.fit_vectorizer(c, "count")
+    return topics.fit_lda(cut_lineage(fitted.vectors(c)), fitted.vocabulary, 4)
 
 
 def nmf_fit(spark, d):
     c = corpus(spark, d)
-    fitted = text.fit_vectorizer(c, "tfidf", max_features=500)
-    return topics.fit_nmf(fitted.transform(c), fitted.size, 4, 15)
+    fitted = text.fit_vectorizer(c, "tfidf")
+    return topics.fit_nmf(fitted.transform(c), fitted.size, 4)
 
 
 @query("n25_lda_keywords")
@@ -98,7 +100,7 @@ def sizes(spark, d):
 @query("n28_text_clusters")
 def clusters(spark, d):
     c = corpus(spark, d)
-    vectors = text.fit_vectorizer(c, "tfidf", max_features=500).vectors(c).persist()
+    vectors = cut_lineage(text.fit_vectorizer(c, "tfidf").vectors(c))
     found, _ = topics.cluster_documents(vectors, 4)
     return topics.representatives(found, c)
 

@@ -222,3 +222,13 @@ UNION ALL SELECT 1, item_id, text, 'benchmark' FROM benchmark)""")
 def append_corpus(spark, d):
     first = txt.append_to_corpus(None, table(spark, d, "documents"), "documents", order_by="doc_id")
     return txt.append_to_corpus(first, table(spark, d, "benchmark"), "benchmark", order_by="item_id")
+
+
+@query("io6_append_three_sources", """WITH c AS (SELECT count(*) AS n FROM pages), b AS (SELECT count(*) AS n FROM benchmark)
+SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_id, url AS text, 'z' AS source, NULL AS label FROM pages
+UNION ALL SELECT row_number() OVER (ORDER BY item_id) - 1 + (SELECT n FROM c), text, 'a', NULL FROM benchmark
+UNION ALL SELECT row_number() OVER (ORDER BY doc_id) - 1 + (SELECT n FROM c) + (SELECT n FROM b), text, 'm', lang FROM documents""")
+def append_three(spark, d):
+    first = txt.append_to_corpus(None, table(spark, d, "pages"), "z", "url", order_by="page_id")
+    second = txt.append_to_corpus(first, table(spark, d, "benchmark"), "a", order_by="item_id")
+    return txt.append_to_corpus(second, table(spark, d, "documents"), "m", order_by="doc_id", label="lang")

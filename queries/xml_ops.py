@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from queries.base import query, table
@@ -23,8 +25,8 @@ def xml_documents(spark, d):
         F.lit("  </priority>"), F.array_join(item, ""), F.array_join(status, ""), F.lit("</order>")).alias("xml"))
 
 
-def parsed(spark, d):
-    return xmldocs.elements(xmldocs.parse_elements(xml_documents(spark, d)))
+def parsed(spark, d, content=True):
+    return xmldocs.parse_and_store(xml_documents(spark, d), content=content)
 
 
 IT = """it AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i,
@@ -94,6 +96,26 @@ def select_descendants(spark, d):
     return xml.select_path(parsed(spark, d), ".//qty").select(F.col("doc_id").alias("doc"), "path", "text")
 
 
+PREDICATES = {
+    "attribute": ("item[@flag]/qty", "tag = 'qty'"),
+    "attribute_value": ("item[@flag='R']/qty", "tag = 'qty' AND (SELECT flag FROM it WHERE it.doc = el.doc AND el.parent = '/order[1]/item[' || i || ']') = 'R'"),
+    "attribute_other": ("item[@flag!='R']", "tag = 'item' AND NOT contains(attrs, 'flag=R')"),
+    "child": ("*[memo]", "tag = 'item'"),
+    "child_text": ("item[qty='7']/ship", "tag = 'ship' AND (SELECT qty FROM it WHERE it.doc = el.doc AND el.parent = '/order[1]/item[' || i || ']') = '7'"),
+    "own_text": ("status[.='O']", "tag = 'status' AND text = 'O'"),
+    "last": ("item[last()]/price", "tag = 'price' AND parent = '/order[1]/item[' || (SELECT max(i) FROM it WHERE it.doc = el.doc) || ']'"),
+    "last_but_one": ("item[last()-1]", "tag = 'item' AND path = '/order[1]/item[' || (SELECT max(i) - 1 FROM it WHERE it.doc = el.doc) || ']'"),
+    "parent": (".//qty/../ship", "tag = 'ship'"),
+}
+
+
+@query("xm3_select_predicates", f"WITH {EL} " + " UNION ALL ".join(f"SELECT '{n}' AS kind, doc, path FROM el WHERE {w}" for n, (_, w) in PREDICATES.items()))
+def select_predicates(spark, d):
+    e = parsed(spark, d, False)
+    found = [xml.match_path(e, p).select(F.lit(n).alias("kind"), F.col("doc_id").alias("doc"), "path") for n, (p, _) in PREDICATES.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("xm3_xpath_values", f"WITH {IT} SELECT doc AS doc_id, (row_number() OVER (PARTITION BY doc ORDER BY i) - 1)::INT AS position, price AS value FROM it WHERE flag = 'R'")
 def xpath_values(spark, d):
     return xml.xpath_values(xml_documents(spark, d), "/order/item[@flag='R']/price/text()")

@@ -177,13 +177,16 @@ def max_pairwise_correlation(df: DataFrame, cols: list[str] | None = None) -> Da
     )
 
 
-def correlation_ratio(df: DataFrame, category: str, value: str, min_avg_group_size: float = 3.0) -> DataFrame:
-    """Eta: square root of the share of variance between the groups. One shuffle on the category."""
-    v = present(df, value).cast("double")
-    pairs = df.select(present(df, category).alias("c"), v.alias("v")).where(F.col("c").isNotNull() & F.col("v").isNotNull())
+def correlation_ratios(df: DataFrame, pairs: list[tuple[str, str, str]], min_avg_group_size: float = 3.0) -> DataFrame:
+    """(name, eta) for (name, category, value) pairs: square root of the share of variance between the groups.
+
+    All pairs come from one scan and one shuffle of (name, category) sums.
+    """
+    cells = [F.struct(F.lit(n).alias("name"), present(df, c).cast("string").alias("c"), present(df, v).cast("double").alias("v")) for n, c, v in pairs]
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("c").isNotNull() & F.col("v").isNotNull())
     # var_pop is merged numerically stably; sums of squares are rebuilt per group.
-    groups = pairs.groupBy("c").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
-    total = groups.agg(
+    groups = rows.groupBy("name", "c").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
+    total = groups.groupBy("name").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
         F.sum(F.col("n") * F.col("s2")).alias("within"),
@@ -197,7 +200,13 @@ def correlation_ratio(df: DataFrame, category: str, value: str, min_avg_group_si
         .when(sst <= 0, 0.0)
         .otherwise(F.sqrt(F.greatest(between / sst, F.lit(0.0))))
     )
-    return total.select(F.coalesce(eta, F.lit(0.0)).alias("eta"))
+    names = df.sparkSession.createDataFrame([(n,) for n, _, _ in pairs], "name string")
+    return names.join(total, "name", "left").select("name", F.coalesce(eta, F.lit(0.0)).alias("eta"))
+
+
+def correlation_ratio(df: DataFrame, category: str, value: str, min_avg_group_size: float = 3.0) -> DataFrame:
+    """Eta of one pair."""
+    return correlation_ratios(df, [("", category, value)], min_avg_group_size).select("eta")
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

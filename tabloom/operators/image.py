@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.session import cut_lineage
+
 from tabloom.functions.scalars import signed_log10
 
 
@@ -108,10 +110,10 @@ def hu_moments(pixels: DataFrame) -> DataFrame:
 def gradients(pixels: DataFrame, kernel: tuple[float, float] = SOBEL, name: str = "gray") -> DataFrame:
     """(image_id, y, x, v, gx, gy, magnitude): 3 x 3 derivatives, borders mirrored without the edge row.
 
-    One shuffle by image serves both windows: rows and columns are sorted inside it.
+    Windows run over one row and then over one column of an image, so a large image spreads over tasks.
     """
     side, centre = F.lit(kernel[0]), F.lit(kernel[1])
-    src = channel(pixels, name).repartition("image_id")
+    src = channel(pixels, name)
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
 
@@ -199,18 +201,25 @@ def brightness_contrast(pixels: DataFrame, alpha: float = 1.2, beta: float = 10.
     return pixels.withColumns({c: fix(c) for c in ("r", "g", "b")})
 
 
-def dominant_colours(pixels: DataFrame, k: int = 4, sample_rows: int = 1_000_000, seed: int = 42) -> DataFrame:
-    """(image_id, colour, share): one palette for the collection, fitted on a hash sample when it is larger."""
+def dominant_colours(pixels: DataFrame, k: int = 4, n_init: int = 5, seed: int = 42) -> DataFrame:
+    """(image_id, colour, share): one palette for the collection, the best of ``n_init`` starts.
+
+    The palette is fitted on all pixels, as distinct colours weighted by how often they occur: at most
+    2^24 rows for any number of pixels.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(pixels)
-    n = data.count()
-    fit_on = data if n <= sample_rows else data.where(F.pmod(F.xxhash64("image_id", "y", "x"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n) + 1)
-    model = KMeans(k=k, seed=seed).fit(fit_on)
+    rgb = ["r", "g", "b"]
+    weighted = pixels.groupBy(*rgb).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    vectors = VectorAssembler(inputCols=rgb, outputCol="features").transform(weighted).persist()
+    fits = [KMeans(k=k, seed=seed + i, weightCol="n").fit(vectors) for i in range(n_init)]
+    model = min(fits, key=lambda f: f.summary.trainingCost)
     colours = [tuple(int(x) for x in c) for c in model.clusterCenters()]
     names = F.array(*[F.lit("#%02x%02x%02x" % c) for c in colours])
-    counts = model.transform(data).groupBy("image_id", F.get(names, F.col("prediction")).alias("colour")).agg(F.count(F.lit(1)).alias("n"))
+    palette = cut_lineage(model.transform(vectors).select(*rgb, F.get(names, F.col("prediction")).alias("colour")))
+    vectors.unpersist()
+    counts = pixels.groupBy("image_id", *rgb).agg(F.count(F.lit(1)).alias("n")).join(palette, rgb).groupBy("image_id", "colour").agg(F.sum("n").alias("n"))
     return counts.select("image_id", "colour", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("image_id"))).alias("share"))
 
 
@@ -224,7 +233,7 @@ def object_regions(pixels: DataFrame, min_area: int = 30) -> DataFrame:
     from tabloom.operators.ranking import global_row_number
     from tabloom.session import cut_lineage
 
-    mask = binarize(pixels, None, inverted=True).repartition("image_id")
+    mask = binarize(pixels, None, inverted=True)
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
     sides = [F.lag("v").over(row), F.lead("v").over(row), F.lag("v").over(column), F.lead("v").over(column)]

@@ -24,7 +24,6 @@ from tabloom.operators.neighbors import knn_vote, vectorised
 from tabloom.operators.split import complete_cases, decide_split, encode_target, k_fold, train_test_split
 
 REGRESSORS = ("linear", "ridge", "lasso", "polynomial")
-ROWS_PER_PARTITION = 20_000
 CLASSIFIERS = ("logistic", "knn", "svm_rbf", "linear_svc", "decision_tree", "random_forest", "naive_bayes")
 
 
@@ -205,13 +204,9 @@ def _scale_gamma(train: DataFrame, features: list[str]) -> float:
     return 1.0 / (len(features) * (row[0] or 1.0))
 
 
-def compact(train: DataFrame, n: int) -> DataFrame:
-    """Few rows in one partition: iterative solvers run hundreds of jobs over them."""
-    return train.repartition(1) if n <= ROWS_PER_PARTITION else train
-
-
 def fit_classifier(train: DataFrame, features: list[str], target: str, choice: str = "logistic", key: str | None = None, k: int = 5,
-                   c: float = 1.0, tree_depth: int = 5, trees: int = 100, forest_depth: int = 5, seed: int = 42) -> Fitted:
+                   c: float = 1.0, tree_depth: int = 5, trees: int = 100, forest_depth: int = 5, seed: int = 42,
+                   logistic_iterations: int = 1000, svc_iterations: int = 1000) -> Fitted:
     """``target`` holds dense codes 0..m-1 (see ``encode_target``); rows must be complete."""
     if choice == "naive_bayes":
         return Fitted(choice, features, fit_naive_bayes(train, features, target))
@@ -220,19 +215,17 @@ def fit_classifier(train: DataFrame, features: list[str], target: str, choice: s
             raise ValueError("k-NN needs the key of the rows")
         return Fitted(choice, features, None, {"key": key, "k": k, "train": vectorised(train, features, key, target)})
     n, classes = train.agg(F.count(F.lit(1)), F.count_distinct(target)).first()
-    if choice in ("logistic", "linear_svc", "svm_rbf"):
-        train = compact(train, n)
     assembler = _assembler(features)
     names = {"labelCol": target, "featuresCol": "features", "predictionCol": "prediction"}
     if choice == "logistic":
-        est = LogisticRegression(maxIter=1000, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-8, **names)
+        est = LogisticRegression(maxIter=logistic_iterations, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-8, **names)
     elif choice == "decision_tree":
         est = DecisionTreeClassifier(maxDepth=tree_depth, seed=seed, **names)
     elif choice == "random_forest":
         est = RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=seed, **names)
     elif choice in ("linear_svc", "svm_rbf"):
         feats = "features" if choice == "linear_svc" else "rff"
-        svc = LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / (c * n), labelCol=target, featuresCol=feats, predictionCol="prediction")
+        svc = LinearSVC(maxIter=svc_iterations, tol=1e-4, regParam=1.0 / (c * n), labelCol=target, featuresCol=feats, predictionCol="prediction")
         est = svc if classes <= 2 else OneVsRest(classifier=svc, labelCol=target, featuresCol=feats, predictionCol="prediction")
         if choice == "svm_rbf":
             fourier = RandomFourier(_scale_gamma(train, features), len(features), seed=seed)

@@ -69,22 +69,35 @@ def _pct(part: Column, whole: Column, digits: int) -> Column:
     return F.round(F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0)), digits)
 
 
+def _digest(df: DataFrame, c: str) -> Column:
+    """What stands for a value where only equality matters: itself as text, long texts as their digest."""
+    v = present(df, c)
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        v = F.when(v == 0, F.lit(0.0)).otherwise(v)  # both zeros
+    text = v.cast("string")
+    return F.when(F.length(text) > 32, F.md5(text)).otherwise(text) if isinstance(df.schema[c].dataType, T.StringType) else text
+
+
 def dataset_overview(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """column, dtype, unique (without missing), missing, missing_pct (1 digit)."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    """column, dtype, unique (without missing), missing, missing_pct (1 digit).
 
-    def make(i, c):
-        aggs = [distinct(present(df, c)).alias(f"u{i}"), F.count(present(df, c)).alias(f"p{i}")]
-        miss = F.col("_n") - F.col(f"p{i}")
-        return aggs, F.struct(
-            F.lit(c).alias("column"),
-            F.lit(type_name(df.schema[c].dataType)).alias("dtype"),
-            F.col(f"u{i}").alias("unique"),
-            miss.alias("missing"),
-            _pct(miss, F.col("_n"), 1).alias("missing_pct"),
-        )
+    Exact counts take the long form (column, value) once: equal values combine before the shuffle and
+    long texts travel as digests. The group of missing cells gives the missing counts.
+    """
+    if approximate:
+        def make(i, c):
+            aggs = [F.approx_count_distinct(present(df, c)).alias(f"u{i}"), F.count(present(df, c)).alias(f"p{i}")]
+            miss = F.col("_n") - F.col(f"p{i}")
+            return aggs, F.struct(F.lit(c).alias("column"), F.lit(type_name(df.schema[c].dataType)).alias("dtype"), F.col(f"u{i}").alias("unique"),
+                                  miss.alias("missing"), _pct(miss, F.col("_n"), 1).alias("missing_pct"))
 
-    return _per_column(df, df.columns, make)
+        return _per_column(df, df.columns, make)
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), _digest(df, c).alias("value")) for i, c in enumerate(df.columns)])))
+    counts = cells.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("i").agg(F.count("value").alias("unique"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.sum("n").alias("n"))
+    names = df.sparkSession.createDataFrame([(i, c, type_name(df.schema[c].dataType)) for i, c in enumerate(df.columns)], "i int, column string, dtype string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return names.join(per, "i", "left").select("column", "dtype", zero("unique").alias("unique"), zero("missing").alias("missing"), _pct(zero("missing"), zero("n"), 1).alias("missing_pct"))
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -127,30 +140,41 @@ def value_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """count, unique, top, freq for text columns; mean, std, min, quartiles, max for numeric ones."""
-    texts = [c for c in df.columns if not is_numeric_like(df.schema[c].dataType) and not is_datetime(df.schema[c].dataType)]
+    """count, unique, top, freq for text and boolean columns; mean, std, min, quartiles, max for numeric and date columns.
+
+    Dates count in seconds since 1970 and have no standard deviation. Frequencies of all texts are one
+    long form; all moments are one aggregate.
+    """
+    dates = [c for c in df.columns if is_datetime(df.schema[c].dataType)]
     numbers = numeric_columns(df)
+    texts = [c for c in df.columns if c not in dates and c not in numbers]
     null_d = F.lit(None).cast("double")
     out = None
     if texts:
-        freq = value_frequencies(df, texts)
+        # Only digests are counted; the text of the winner is looked up among the rows that have its digest.
+        parts = [F.struct(F.lit(c).alias("column"), _digest(df, c).alias("value"), F.substring(present(df, c).cast("string"), 1, 32).alias("start")) for c in texts]
+        freq = df.select(F.inline(F.array(*parts))).groupBy("column", "value", "start").agg(F.count(F.lit(1)).alias("n"))
+        known = F.col("value").isNotNull()
         tops = freq.groupBy("column").agg(
-            F.sum("n").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.max("n").alias("freq"),
-        )
-        top_values = (
-            freq.groupBy("column", "n").agg(F.min("value").alias("top")).groupBy("column").agg(F.max_by("top", "n").alias("top"))
-        )
-        out = tops.join(top_values, "column").select(
+            F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("count"), F.count("value").alias("unique"), F.max(F.when(known, F.col("n"))).alias("freq"))
+        best = freq.where(known).join(tops.select(F.col("column").alias("_c"), "freq"), (F.col("column") == F.col("_c")) & (F.col("n") == F.col("freq")))
+        # Of equally frequent values the smallest: by its start, among equal starts by the text itself.
+        first = best.groupBy("column").agg(F.min("start").alias("start"))
+        tied = best.join(first, ["column", "start"]).select("column", "value")
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _digest(df, c).alias("value"), present(df, c).cast("string").alias("text")) for c in texts])))
+        top = long.where("value IS NOT NULL").join(tied, ["column", "value"]).groupBy("column").agg(F.min("text").alias("top"))
+        out = tops.join(top, "column", "left").select(
             "column", "count", "unique", "top", "freq",
             *[null_d.alias(x) for x in ("mean", "std", "min", "q25", "q50", "q75", "max")],
         )
-    if numbers:
-        quart = column_quantiles(df, numbers, [0.25, 0.5, 0.75])
+    measured = [c for c in df.columns if c in numbers or c in dates]
+    if measured:
+        seconds = lambda c: F.unix_micros(df[c].cast("timestamp")) / 1e6
+        work = df.select(*[(seconds(c) if c in dates else F.col(f"`{c}`")).alias(c) for c in measured])
+        quart = column_quantiles(work, measured, [0.25, 0.5, 0.75])
 
         def make(i, c):
-            v = present(df, c).cast("double")
+            v = present(work, c).cast("double")
             aggs = [
                 F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
@@ -159,12 +183,12 @@ def describe_all(df: DataFrame) -> DataFrame:
                 F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
                 F.lit(None).cast("bigint").alias("unique"), F.lit(None).cast("string").alias("top"),
                 F.lit(None).cast("bigint").alias("freq"),
-                F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
+                F.col(f"a{i}").alias("mean"), (null_d if c in dates else F.col(f"s{i}")).alias("std"), F.col(f"lo{i}").alias("min"),
                 *[F.lit(quart[c][p]).cast("double").alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))],
                 F.col(f"hi{i}").alias("max"),
             )
 
-        nums = _per_column(df, numbers, make)
+        nums = _per_column(work, measured, make)
         out = nums if out is None else out.unionByName(nums)
     return out
 

@@ -4,43 +4,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col, missing, present
 from tabloom.operators.ranking import hash_rank
 
-MAX_CLASSES = 10_000
 
+def stratified_quota(counts: DataFrame, test_size: float) -> DataFrame:
+    """(class, quota) from (class, n): proportional, largest remainders rounded up; the total is ceil(test_size * rows).
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r["c"]: r["n"] for r in rows}
-
-
-def stratified_quota(counts: dict, test_size: float) -> dict:
-    """Test rows per class: proportional, largest remainders rounded up; the total is ceil(test_size * n)."""
-    n = sum(counts.values())
+    The window runs over one row per class.
+    """
+    n = counts.agg(F.sum("n")).first()[0] or 0
     wanted = math.ceil(test_size * n)
-    share = {c: k * wanted / n for c, k in counts.items()}
-    quota = {c: int(s) for c, s in share.items()}
-    left = wanted - sum(quota.values())
-    for c in sorted(counts, key=lambda c: (-(share[c] - quota[c]), str(c)))[:left]:
-        quota[c] += 1
-    return quota
+    shares = counts.withColumn("share", F.col("n") * F.lit(wanted) / F.lit(max(n, 1))).withColumn("whole", F.floor("share").cast("bigint"))
+    given = shares.agg(F.sum("whole")).first()[0] or 0
+    order = Window.orderBy((F.col("share") - F.col("whole")).desc(), F.coalesce(F.col("class").cast("string"), F.lit("None")))
+    more = F.when(F.row_number().over(order) <= wanted - given, 1).otherwise(0)
+    return shares.select("class", (F.col("whole") + more).cast("bigint").alias("quota"))
 
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratify: str | None = None, out: str = "split") -> DataFrame:
     """Adds ``split`` = train / test. Stratified when every class has two rows, else plain."""
-    counts = class_counts(df, stratify) if stratify else {}
-    if stratify and min(counts.values(), default=0) >= 2:
-        quota = stratified_quota(counts, test_size)
+    counts = df.groupBy(col(stratify).alias("class")).agg(F.count(F.lit(1)).alias("n")) if stratify else None
+    if counts is not None and (counts.agg(F.min("n")).first()[0] or 0) >= 2:
         ranked = hash_rank(df, key, seed, stratify, "_rank")
-        kind = df.schema[stratify].dataType.simpleString()
-        quotas = df.sparkSession.createDataFrame(list(quota.items()), f"_class {kind}, _quota bigint")  # one row per class
-        ranked = ranked.join(F.broadcast(quotas), col(stratify).eqNullSafe(F.col("_class"))).drop("_class")
+        quotas = stratified_quota(counts, test_size).select(F.col("class").alias("_class"), F.col("quota").alias("_quota"))
+        ranked = ranked.join(quotas, col(stratify).eqNullSafe(F.col("_class"))).drop("_class")
         limit = F.col("_quota")
     else:
         n = df.agg(F.count(F.lit(1))).first()[0]

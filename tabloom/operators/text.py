@@ -29,16 +29,25 @@ WORD_RULES = {
 
 # ---- corpus --------------------------------------------------------------------------------------
 
-def append_to_corpus(corpus: DataFrame | None, new: DataFrame, source: str, text: str = "text", order_by: str | None = None) -> DataFrame:
-    """Union with the source recorded; ``doc_id`` is renumbered 0..n-1 over (old rows, source, key)."""
+def append_to_corpus(corpus: DataFrame | None, new: DataFrame, source: str, text: str = "text", order_by: str | None = None, label: str | None = None) -> DataFrame:
+    """Union with the source recorded. Old rows keep their ``doc_id``; new ones follow the largest, in the order of the key.
+
+    With ``label`` the column is carried along as text; rows added without one have no label.
+    """
     key = col(order_by) if order_by else col(text)
-    added = new.select(F.lit(1).alias("_part"), F.lit(source).alias("source"), key.cast("string").alias("_key"), col(text).cast("string").alias("text"))
-    added = added.withColumn("_num", F.col("_key").try_cast("bigint"))
+    start = 0
+    if corpus is not None:
+        last = corpus.agg(F.max("doc_id")).first()[0]
+        start = 0 if last is None else last + 1
+    added = new.select(F.lit(source).alias("source"), key.cast("string").alias("_key"), col(text).cast("string").alias("text"),
+                       (col(label).cast("string") if label else F.lit(None).cast("string")).alias("label"))
+    order = [F.col("_key").try_cast("bigint").asc_nulls_last(), F.col("_key"), F.col("text")]
+    out = global_row_number(added, order, "doc_id", start=start).select("doc_id", "text", "source", "label")
     if corpus is not None:
-        old = corpus.select(F.lit(0).alias("_part"), "source", F.lit(None).cast("string").alias("_key"), "text", F.col("doc_id").cast("bigint").alias("_num"))
-        added = old.unionByName(added)
-    order = [F.col("_part"), F.col("source"), F.col("_num").asc_nulls_last(), F.col("_key"), F.col("text")]
-    return global_row_number(added, order, "doc_id").select("doc_id", "text", "source")
+        old = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", (F.col("label") if "label" in corpus.columns else F.lit(None).cast("string")).alias("label"))
+        out = old.unionByName(out)
+    carried = label is not None or (corpus is not None and "label" in corpus.columns)
+    return out if carried else out.drop("label")
 
 
 def read_text_column(df: DataFrame, text: str, label: str | None = None) -> DataFrame:

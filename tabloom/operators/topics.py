@@ -20,7 +20,6 @@ from tabloom.functions.columns import col
 from tabloom.functions.scalars import preview
 from tabloom.operators import metrics
 from tabloom.operators.clean import label_encode
-from tabloom.operators.models import compact
 from tabloom.operators.relational import best_per_group, top_k_per_group
 from tabloom.operators.split import train_test_split
 from tabloom.operators.text import Vectorizer, fit_vectorizer
@@ -46,21 +45,20 @@ def embed_word2vec(corpus: DataFrame, size: int = 64, min_count: int = 5, seed:
 
 # ---- classification -----------------------------------------------------------------------------------------
 
-def classify_text(corpus: DataFrame, label: str, vectorizer: Vectorizer, choice: str = "logistic", test_size: float = 0.2, seed: int = 42, key: str = "doc_id") -> dict:
-    """Sparse vectors all the way; missing labels become ``unknown``."""
+def classify_text(corpus: DataFrame, label: str, vectorizer: Vectorizer, choice: str = "logistic", test_size: float = 0.2, seed: int = 42, key: str = "doc_id",
+                  logistic_iterations: int = 1000, svc_iterations: int = 2000, trees: int = 100, forest_depth: int = 30) -> dict:
+    """Sparse vectors all the way; missing labels become ``unknown``. Spark's trees stop at depth 30."""
     labelled = corpus.withColumn("_class", F.coalesce(col(label).cast("string"), F.lit("unknown")))
     coded, mapping = label_encode(labelled.select(key, "_class"), "_class", "label")
     data = vectorizer.vectors(corpus, key).join(coded.select(F.col(key).alias("doc_id"), F.col("label").cast("double").alias("label")), "doc_id")
     parts = train_test_split(data, "doc_id", test_size, seed, "label").persist()
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     n, classes = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    if choice in ("logistic", "linear_svc"):
-        train = compact(train, n)
     est = {
-        "logistic": lambda: LogisticRegression(maxIter=200, regParam=1.0 / n, standardization=False),
+        "logistic": lambda: LogisticRegression(maxIter=logistic_iterations, tol=1e-4, regParam=1.0 / n, standardization=False),
         "naive_bayes": lambda: NaiveBayes(modelType="multinomial"),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed),
-        "linear_svc": lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / n) if classes <= 2 else OneVsRest(classifier=LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / n)),
+        "random_forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=seed),
+        "linear_svc": lambda: LinearSVC(maxIter=svc_iterations, tol=1e-4, regParam=1.0 / n) if classes <= 2 else OneVsRest(classifier=LinearSVC(maxIter=svc_iterations, tol=1e-4, regParam=1.0 / n)),
     }[choice]()
     model = est.fit(train)
     scored = model.transform(test).select("doc_id", "label", "prediction")
@@ -85,7 +83,7 @@ def fit_lda(vectors: DataFrame, vocabulary: DataFrame, k: int = 5, max_iter: int
     return TopicFit(terms.join(vocabulary.select("index", "term"), "index").select("topic", "term", "weight"), docs)
 
 
-def fit_nmf(long: DataFrame, n_terms: int, k: int = 5, max_iter: int = 50, tol: float = 1e-4, seed: int = 42) -> TopicFit:
+def fit_nmf(long: DataFrame, n_terms: int, k: int = 5, max_iter: int = 500, tol: float = 1e-4, seed: int = 42) -> TopicFit:
     """Lee-Seung multiplicative updates for ``X ~ W H`` on (doc_id, index, term, weight) rows.
 
     W lives with its documents: a document's row is one record (indices, values, w). H (terms x k)
@@ -105,11 +103,15 @@ def fit_nmf(long: DataFrame, n_terms: int, k: int = 5, max_iter: int = 50, tol:
     eps, w_steps = 1e-10, 20
 
     def solve_w(cols, vals, h, hht):
-        hx = h[:, cols] @ vals
-        w = np.full(len(hht), scale)
+        """W of all documents of a batch: flat cells, one matrix product per inner step. Also the documents' sizes and H'x."""
+        sizes = np.array([len(c) for c in cols])
+        flat, data = np.concatenate(cols).astype(np.int64), np.concatenate(vals)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        hx = np.add.reduceat(h[:, flat].T * data[:, None], starts, axis=0)
+        w = np.full((len(sizes), len(hht)), scale)
         for _ in range(w_steps):
-            w = w * hx / (hht @ w + eps)
-        return w
+            w = w * hx / (w @ hht + eps)
+        return w, hx, sizes, flat, data
 
     previous = None
     for _ in range(max_iter):
@@ -118,11 +120,13 @@ def fit_nmf(long: DataFrame, n_terms: int, k: int = 5, max_iter: int = 50, tol:
         def partial(batches, h=now, hht=hht):
             wtx, wtw, err = np.zeros((k, n_terms)), np.zeros((k, k)), 0.0
             for b in batches:
-                for cols, vals in zip(b["i"], b["v"]):
-                    w = solve_w(cols, vals, h, hht)
-                    wtx[:, cols] += np.outer(w, vals)
-                    wtw += np.outer(w, w)
-                    err += float(vals @ vals) - 2 * float(w @ (h[:, cols] @ vals)) + float(w @ hht @ w)
+                if not len(b):
+                    continue
+                w, hx, sizes, flat, data = solve_w(b["i"], b["v"], h, hht)
+                for a in range(k):
+                    wtx[a] += np.bincount(flat, np.repeat(w[:, a], sizes) * data, n_terms)
+                wtw += w.T @ w
+                err += float(data @ data) - 2 * float((w * hx).sum()) + float(((w @ hht) * w).sum())
             hit = np.nonzero(wtx.sum(axis=0))[0]
             rows = [("x", int(j), wtx[:, j].tolist()) for j in hit] + [("w", a, wtw[a].tolist()) for a in range(k)] + [("e", 0, [err] * k)]
             yield pd.DataFrame(rows, columns=["part", "j", "s"])
@@ -145,7 +149,7 @@ def fit_nmf(long: DataFrame, n_terms: int, k: int = 5, max_iter: int = 50, tol:
 
     @F.pandas_udf("array<double>")
     def weights(i: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([solve_w(c, x, final, hht) for c, x in zip(i, v)])
+        return pd.Series(list(solve_w(i, v, final, hht)[0]) if len(i) else [])
 
     spark = long.sparkSession
     names = {r["index"]: r["term"] for r in long.select("index", "term").distinct().collect()}  # the vocabulary
@@ -169,9 +173,10 @@ def topic_sizes(dominant: DataFrame) -> DataFrame:
 
 # ---- clusters -------------------------------------------------------------------------------------------------
 
-def cluster_documents(vectors: DataFrame, k: int = 5, seed: int = 42) -> tuple[DataFrame, list]:
-    """(doc_id, cluster, distance to the centre) and the centres."""
-    model = KMeans(k=k, seed=seed, maxIter=100).fit(vectors)
+def cluster_documents(vectors: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10) -> tuple[DataFrame, list]:
+    """(doc_id, cluster, distance to the centre) and the centres, of the best of ``n_init`` starts."""
+    fits = [KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors) for i in range(n_init)]
+    model = min(fits, key=lambda f: f.summary.trainingCost)
     centres = [c.tolist() for c in model.clusterCenters()]
     out = model.transform(vectors)
     squared = _distance_udf(centres)("features", "prediction")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import scalars as sc
 from tabloom.functions.columns import col
 from tabloom.operators import relational as rel
-from tabloom.operators.ranking import running_share
+from tabloom.operators.ranking import global_row_number, running_share
 
 KEY = ["doc_id", "path"]
 
@@ -51,19 +51,100 @@ def find(elements: DataFrame, tag: str | None = None, attribute: str | None = No
     return elements.where(reduce(lambda a, b: a & b, tests))
 
 
-def path_regex(steps: str) -> str:
-    """Child steps (``a/b``), descendant steps (``.//a``), ``*`` and ``[n]``, below the root, as a path regex."""
-    steps = steps[1:] if steps.startswith(".") else "/" + steps
-    out = r"^/[^/]+"
-    for slashes, name, index in re.findall(r"(//|/)([^/\[\]]+)(\[\d+\])?", steps):
-        out += "(/[^/]+)*" if slashes == "//" else ""
-        out += "/" + (r"[^/\[]+" if name == "*" else r"\Q" + name + r"\E") + (re.escape(index) if index else r"\[\d+\]")
-    return out + "$"
+_NAME = r"[^\s/\[\]@=!|'\"*.:{}()]+"
+_STEP = re.compile(rf"(//|/)?(?:(\.\.)|(\.)|(\*|(?:{{[^}}]*}})?{_NAME}))((?:\[[^\]]*\])*)")
+_TEST = re.compile(
+    rf"\[\s*(?:(?P<index>\d+)|last\(\)\s*(?:-\s*(?P<back>\d+))?|@(?P<attr>{_NAME})(?:\s*(?P<op>!?=)\s*(?P<q>['\"])(?P<value>.*?)(?P=q))?"
+    rf"|(?P<child>\.|{_NAME})(?:\s*(?P<cop>!?=)\s*(?P<cq>['\"])(?P<cvalue>.*?)(?P=cq))?)\s*\]")
+
+
+def parse_path(path: str) -> list[tuple[str, str, list[dict]]]:
+    """(axis, name, tests) per step; raises ``ValueError`` on anything that is not supported."""
+    steps, at = [], 0
+    while at < len(path):
+        m = _STEP.match(path, at)
+        if not m or m.end() == at or (at > 0 and not m[1]) or (at == 0 and m[1]):
+            raise ValueError(f"path {path!r} is not supported from {path[at:]!r} on")
+        tests, inside = [], 0
+        while inside < len(m[5]):
+            t = _TEST.match(m[5], inside)
+            if not t:
+                raise ValueError(f"predicate {m[5][inside:]!r} is not supported")
+            tests.append(t.groupdict())
+            inside = t.end()
+        steps.append(("descendant" if m[1] == "//" else "child", m[2] or m[3] or m[4], tests))
+        at = m.end()
+    return steps
+
+
+def _text_below(elements: DataFrame) -> DataFrame:
+    """(doc_id, path, _all): all text of an element as it stands, tails of its descendants included."""
+    own = elements.select("doc_id", "path", "ord", F.explode(prefixes(F.col("path"))).alias("_up"), "text", "tail", "last_ord")
+    # A tail stands behind its whole subtree, and belongs to the ancestors only.
+    start = F.struct(F.col("ord").cast("double").alias("at"), F.lit(0).alias("deep"), F.coalesce("text", F.lit("")).alias("s"))
+    end = F.struct((F.col("last_ord") + 0.5).cast("double").alias("at"), (-F.length("path")).alias("deep"), F.when(F.col("_up") != F.col("path"), F.coalesce("tail", F.lit(""))).otherwise(F.lit("")).alias("s"))
+    pieces = own.select("doc_id", F.col("_up").alias("path"), F.explode(F.array(start, end)).alias("p")).where(F.col("p.s") != "")
+    return pieces.groupBy("doc_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("_all"))
+
+
+def _holds(elements: DataFrame, found: DataFrame, test: dict) -> DataFrame:
+    """Rows of ``found`` that meet one predicate."""
+    compare = lambda column, op, value: (column == value) if op == "=" else (column != value)
+    if test["attr"]:
+        here = F.map_contains_key("attrs", test["attr"])
+        return found.where(here & compare(F.element_at("attrs", test["attr"]), test["op"], test["value"]) if test["op"] else here)
+    if test["child"] == ".":
+        if not test["cop"]:
+            raise ValueError("a predicate on the element itself needs a value")
+        texts = found.join(_text_below(elements), KEY, "left")
+        return texts.where(compare(F.coalesce("_all", F.lit("")), test["cop"], test["cvalue"])).drop("_all")
+    if test["child"]:
+        kids = elements.where(F.col("tag") == test["child"])
+        if test["cop"]:
+            kids = kids.select("doc_id", "path", "parent_path").join(_text_below(elements), KEY, "left")
+            kids = kids.where(compare(F.coalesce("_all", F.lit("")), test["cop"], test["cvalue"]))
+        return found.join(kids.select("doc_id", F.col("parent_path").alias("path")).distinct(), KEY, "left_semi")
+    index = F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int")
+    if test["index"]:
+        return found.where(index == int(test["index"]))
+    sizes = elements.groupBy("doc_id", "parent_path", "tag").agg(F.count(F.lit(1)).alias("_n"))
+    return found.join(sizes, ["doc_id", "parent_path", "tag"]).where(index == F.col("_n") - int(test["back"] or 0)).drop("_n")
+
+
+def match_path(elements: DataFrame, path: str) -> DataFrame:
+    """Elements that a path from the root element leads to, each once.
+
+    Steps are names (``{namespace}name`` too), ``*``, ``.`` and ``..``, joined by ``/`` and ``//``; predicates
+    are ``[@a]``, ``[@a='v']``, ``[tag]``, ``[tag='v']``, ``[.='v']`` (``!=`` as well), ``[n]``, ``[last()]`` and
+    ``[last()-n]``, where positions count among siblings of the same tag. Every step is one equi-join.
+    """
+    found = elements.where("depth = 0")
+    for axis, name, tests in parse_path(path):
+        here = found.select("doc_id", F.col("path").alias("_from"))
+        if name == ".." or name == ".":
+            if axis == "descendant":
+                raise ValueError(f"// before {name} is not supported")
+            if name == "..":
+                above = found.select("doc_id", F.col("parent_path").alias("path")).distinct()
+                found = elements.join(above, KEY, "left_semi")
+        else:
+            space, _, local = name[1:].partition("}") if name.startswith("{") else (None, "", name)
+            wanted = elements if local == "*" else elements.where(F.col("tag") == local)
+            wanted = wanted if space is None else wanted.where(F.col("namespace") == space)
+            if axis == "child":
+                found = wanted.join(here.withColumnRenamed("_from", "parent_path"), ["doc_id", "parent_path"], "left_semi")
+            else:
+                up = wanted.select(*KEY, F.explode(prefixes(F.col("parent_path"))).alias("_from"))
+                found = wanted.join(up.join(here, ["doc_id", "_from"], "left_semi").select(*KEY).distinct(), KEY, "left_semi")
+        for test in tests:
+            found = _holds(elements, found, test)
+        found = found.select(*elements.columns)
+    return found
 
 
 def select_path(elements: DataFrame, steps: str, attribute: str | None = None, value: str | None = None) -> DataFrame:
     """Rows of the subtrees below every element matched by the path (and by an attribute of it)."""
-    hits = elements.where(F.col("path").rlike(path_regex(steps)))
+    hits = match_path(elements, steps)
     if attribute:
         hits = hits.where(F.element_at("attrs", attribute) == value if value is not None else F.map_contains_key("attrs", attribute))
     hits = hits.select("doc_id", F.col("path").alias("match_path"))
@@ -311,24 +392,27 @@ def rename_attribute(elements: DataFrame, old: str, new: str) -> DataFrame:
 
 # ---- documents ---------------------------------------------------------------------------------------------------
 
-def combine(elements: DataFrame, doc_order: str = "doc_id", out: str = "combined") -> DataFrame:
+def combine(elements: DataFrame, doc_order: str = "doc_id", out: str = "combined", **options) -> DataFrame:
     """All documents under one root. Root tag, attributes and text must agree.
 
     Top-level children are renumbered by adding, per tag, the number of such children in earlier
-    documents: a running sum over documents, not a window over the combined document.
+    documents: a running sum over documents, not a window over the combined document. ``options`` go
+    to ``running_share``.
     """
     roots = elements.where("depth = 0")
     shapes = roots.select("namespace", "tag", F.array_sort(F.map_entries("attrs")).alias("a"), plain(F.col("text")).alias("t")).distinct()
     if len(shapes.limit(2).collect()) > 1:
         raise ValueError("documents have different roots and cannot be combined")
     first_doc = roots.agg(F.min(doc_order)).first()[0]
-    kids = elements.where("depth = 1").groupBy("tag", F.col(doc_order).alias("_doc")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_share(kids, ["tag"], "_doc", "_n", "_shift").select(F.col("tag").alias("_top"), "_doc", "_shift")
-    sizes = elements.groupBy(F.col(doc_order).alias("_doc")).agg(F.max("ord").alias("_size"), F.count_if(F.col("depth") == 1).alias("_kids")).withColumn("_all", F.lit(1))
-    starts = running_share(running_share(sizes, ["_all"], "_doc", "_size", "_ord0"), ["_all"], "_doc", "_kids", "_pos0").select("_doc", "_ord0", "_pos0")
+    # Documents are numbered first: ids may be texts, and running sums need an order that can be cut into slices.
+    numbers = global_row_number(roots.select(F.col(doc_order).alias("_doc")).distinct(), [F.col("_doc")], "_num")
+    kids = elements.where("depth = 1").groupBy("tag", F.col(doc_order).alias("_doc")).agg(F.count(F.lit(1)).alias("_n")).join(numbers, "_doc")
+    offsets = running_share(kids, ["tag"], "_num", "_n", "_earlier", **options).select(F.col("tag").alias("_top_tag"), "_doc", F.col("_earlier"))
+    sizes = elements.groupBy(F.col(doc_order).alias("_doc")).agg(F.max("ord").alias("_size"), F.count_if(F.col("depth") == 1).alias("_kids")).withColumn("_all", F.lit(1)).join(numbers, "_doc")
+    starts = running_share(running_share(sizes, ["_all"], "_num", "_size", "_ord0", **options), ["_all"], "_num", "_kids", "_pos0", **options).select("_doc", "_ord0", "_pos0")
     top = F.regexp_extract("path", r"^/[^/]+/([^/\[]+)\[", 1)
-    body = elements.where("depth > 0").withColumns({"_top": top, "_doc": F.col(doc_order)}).join(offsets, ["_top", "_doc"]).join(starts, "_doc")
-    index = F.regexp_extract("path", r"^/[^/]+/[^/\[]+\[(\d+)\]", 1).cast("bigint") + F.col("_shift")
+    body = elements.where("depth > 0").withColumns({"_top_tag": top, "_doc": F.col(doc_order)}).join(offsets, ["_top_tag", "_doc"]).join(starts, "_doc")
+    index = F.regexp_extract("path", r"^/[^/]+/[^/\[]+\[(\d+)\]", 1).cast("bigint") + F.col("_earlier")
     head, rest = F.regexp_extract("path", r"^(/[^/]+/[^/\[]+\[)", 1), F.regexp_extract("path", r"^/[^/]+/[^/\[]+\[\d+(\].*)$", 1)
     new_path = F.concat(head, index.cast("string"), rest)
     cut = F.regexp_replace("path", r"/[^/]+$", "")

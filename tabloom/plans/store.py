@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import cut_lineage
+
 VERSIONS = "version int, label string, source_version int, path string, created_at timestamp"
 
 
@@ -48,17 +50,32 @@ def latest_per_label(versions: DataFrame) -> DataFrame:
     return versions.groupBy("label").agg(F.max_by(F.struct("version", "source_version"), "version").alias("v")).select("label", "v.*")
 
 
+def _jumps(versions: DataFrame) -> DataFrame:
+    return versions.select("version", F.col("source_version").alias("jump"))
+
+
+def _doublings(versions: DataFrame) -> int:
+    """Rounds after which a jump is longer than any chain without a cycle."""
+    return versions.count().bit_length()
+
+
 def descendants(versions: DataFrame, roots: DataFrame) -> DataFrame:
-    """Versions derived, directly or not, from the given ones (the closure that a purge drops)."""
-    spark = versions.sparkSession
-    versions.select("version", "source_version").createOrReplaceTempView("_tabloom_versions")
-    roots.select("version").createOrReplaceTempView("_tabloom_roots")
-    return spark.sql("""
-        WITH RECURSIVE reach(version) AS (
-          SELECT version FROM _tabloom_roots
-          UNION ALL
-          SELECT v.version FROM _tabloom_versions v JOIN reach r ON v.source_version = r.version)
-        SELECT DISTINCT version FROM reach""")
+    """Versions derived, directly or not, from the given ones (the closure that a purge drops).
+
+    Pointer doubling: every version knows an ancestor 1, 2, 4, ... steps up and whether a root lies
+    on the way, so depth costs a logarithm of rounds and shared ancestors are walked once.
+    """
+    named = roots.select(F.col("version").alias("root")).distinct()
+    above = named.select(F.col("root").alias("parent"))
+    state = _jumps(versions).join(named, F.col("version") == F.col("root"), "left").join(above, F.col("jump") == F.col("parent"), "left")
+    state = state.select("version", "jump", (F.col("root").isNotNull() | F.col("parent").isNotNull()).alias("hit"))
+    for _ in range(_doublings(versions)):
+        state = cut_lineage(state)
+        if not state.where("jump IS NOT NULL").limit(1).count():
+            break
+        above = state.select(F.col("version").alias("jump"), F.col("jump").alias("_jump"), F.col("hit").alias("_hit"))
+        state = state.join(above, "jump", "left").select("version", F.col("_jump").alias("jump"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit"))
+    return state.where("hit").select("version").union(named).distinct()
 
 
 def purge(versions: DataFrame, roots: DataFrame) -> DataFrame:
@@ -66,19 +83,27 @@ def purge(versions: DataFrame, roots: DataFrame) -> DataFrame:
     return versions.join(descendants(versions, roots), "version", "left_anti")
 
 
-def chain(versions: DataFrame, version: int, max_depth: int = 90) -> list[int] | None:
-    """Versions from the root to ``version``; none when a parent is missing or the chain is a cycle."""
-    spark = versions.sparkSession
-    versions.select("version", "source_version").createOrReplaceTempView("_tabloom_versions")
-    rows = spark.sql(f"""
-        WITH RECURSIVE up(version, source_version, depth) AS (
-          SELECT version, source_version, 0 FROM _tabloom_versions WHERE version = {int(version)}
-          UNION ALL
-          SELECT v.version, v.source_version, u.depth + 1 FROM _tabloom_versions v JOIN up u ON v.version = u.source_version
-          WHERE u.depth < {int(max_depth)})
-        SELECT version, source_version, depth FROM up ORDER BY depth DESC""").collect()
+def chain(versions: DataFrame, version: int) -> list[int] | None:
+    """Versions from the root to ``version``; none when a parent is missing or the chain is a cycle.
+
+    Ancestors at distance 0 to 2^k - 1 give those at 2^k to 2^(k+1) - 1 by one join with the jumps of
+    length 2^k, so a chain of any depth takes a logarithm of rounds.
+    """
+    jumps = cut_lineage(_jumps(versions))
+    found = jumps.where(F.col("version") == version).select("version", F.lit(0).cast("bigint").alias("depth"))
+    rounds = _doublings(versions)
+    for k in range(rounds):
+        further = found.join(jumps.where("jump IS NOT NULL"), "version").select(F.col("jump").alias("version"), (F.col("depth") + (1 << k)).alias("depth"))
+        longer = cut_lineage(found.unionByName(further))
+        found, before = longer, found
+        if longer.count() == before.count():
+            break
+        above = jumps.select(F.col("version").alias("jump"), F.col("jump").alias("_jump"))
+        jumps = cut_lineage(jumps.join(above, "jump").select("version", F.col("_jump").alias("jump")))
+    rows = found.join(_jumps(versions), "version", "left").orderBy(F.desc("depth")).collect()  # the answer itself, one row per link
     path = [r["version"] for r in rows]
-    if not path or rows[0]["source_version"] is not None or len(set(path)) != len(path):
+    whole = versions.select("version").join(found.select("version"), "version", "left_semi").distinct().count() == len(path)
+    if not path or rows[0]["jump"] is not None or not whole:
         return None
     return path
 

@@ -19,6 +19,7 @@ def get_spark(app_name: str = "tabloom", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -56,12 +57,6 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] <= max_rows
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of fewer files than cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after a check of the row count; otherwise leave the join to AQE."""
     return F.broadcast(df) if is_small(df, max_rows) else df

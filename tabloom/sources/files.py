@@ -23,8 +23,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # ---- readers -------------------------------------------------------------------------------------
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """Header and inferred types; pass ``schema`` to spare the inference pass over large inputs."""
-    reader = spark.read.options(header=True, multiLine=options.pop("multiLine", True), escape='"', **options)
+    """Header and inferred types; pass ``schema`` to spare the inference pass over large inputs.
+
+    Files are split between tasks; ``multiLine=True`` reads quoted line breaks, but each file in one task.
+    """
+    reader = spark.read.options(header=True, escape='"', **options)
     return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
 
 
@@ -34,25 +37,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def json_records(documents: DataFrame, text: str = "value") -> DataFrame:
-    """JSON documents to one variant per record.
+    """JSON documents to one variant per record; one scan and one explode.
 
     A list gives its items; an object gives the items of its first list-valued key (in document
     order), or itself as the only record when it has none.
     """
-    docs = documents.select(col(text).alias("_text"), F.try_parse_json(col(text)).alias("_doc")).withColumn("_id", F.monotonically_increasing_id())
+    raw = documents.select(col(text).alias("_text"), F.try_parse_json(col(text)).alias("_doc"))
     kind = F.schema_of_variant("_doc")
-    lists = docs.where(kind.startswith("ARRAY")).select("_doc")
-    objects = docs.where(kind.startswith("OBJECT")).select("_text", "_doc")
-    fields = F.from_json("_text", "map<string,variant>")
+    fields = F.when(kind.startswith("OBJECT"), F.from_json("_text", "map<string,variant>"))
     is_list = lambda k: F.schema_of_variant(F.element_at("_map", k)).startswith("ARRAY")
     first = F.get(F.filter(F.json_object_keys("_text"), is_list), F.lit(0))
-    opened = objects.withColumn("_map", fields).withColumn("_list", F.element_at("_map", first)).drop("_map")
-    from_lists = lists.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("_doc").outer())).select(F.col("value").alias("record"))
-    from_key = opened.where(F.col("_list").isNotNull()).select("_list").lateralJoin(
-        documents.sparkSession.tvf.variant_explode(F.col("_list").outer())
-    ).select(F.col("value").alias("record"))
-    single = opened.where(F.col("_list").isNull()).select(F.col("_doc").alias("record"))
-    return from_lists.unionByName(from_key).unionByName(single)
+    opened = raw.withColumn("_map", fields).withColumn("_list", F.when(F.col("_map").isNotNull(), F.element_at("_map", first)))
+    items = F.when(kind.startswith("ARRAY"), F.variant_get("_doc", "$", "array<variant>")).when(F.col("_list").isNotNull(), F.variant_get("_list", "$", "array<variant>"))
+    return opened.where(kind.startswith("ARRAY") | kind.startswith("OBJECT")).select(F.explode(F.coalesce(items, F.array("_doc"))).alias("record"))
 
 
 def parse_lines(lines: DataFrame, text: str = "value") -> DataFrame:

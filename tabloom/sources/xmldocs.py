@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col
 from tabloom.functions.scalars import content_digest
+from tabloom.session import cut_lineage
 
 ELEMENTS = (
     "doc_id {key}, path string, parent_path string, pos int, ord int, last_ord int, depth int, tag string, "
@@ -98,5 +99,12 @@ def elements(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NULL").drop("error")
 
 
+def parse_and_store(documents: DataFrame, key: str = "doc_id", xml: str = "xml", content: bool = True) -> DataFrame:
+    """Elements of all documents that parse, stored in the shared checkpoint folder: operators that look at the
+    elements several times read them and parse no document again.
+    """
+    return cut_lineage(elements(parse_elements(documents, key, xml, content)))
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("doc_id", "error")
