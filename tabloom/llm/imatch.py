@@ -19,19 +19,19 @@ of no terms, and its likeness to itself is 1. Equal texts have equal fingerprint
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.ranking import global_row_number
-from tabloom.session import cut_lineage
-
 BAND = (0.002, 0.05)  # shares of documents between which a term's document frequency lies
 LISTS = 1 << 14  # short lists that the lexicon is arranged in
 PER_DENSITY = 16  # subsets of each density
 DENSITIES = (4, 6, 8, 10)  # a subset holds one in 2**d terms
 NONE = 42  # hash of no terms
+ROWS_PER_STRETCH = 2_000  # documents that are put in order in one go
+MOST_STRETCHES = 1 << 16  # beyond, stretches grow
 FEW = 4  # subsets that must be met in a density before its share counts
 
 
@@ -116,33 +116,64 @@ def fingerprint(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return with_hashes(docs, "text", lexicon(docs, band), "fingerprint").withColumn("fingerprint", as_string(F.col("fingerprint")))
 
 
-def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+def _cuts(docs: DataFrame, pieces: int) -> list[int]:
+    """At most ``pieces`` - 1 ids that cut the documents into stretches of about equal size."""
+    shares = [i / pieces for i in range(1, pieces)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def stretch_of(doc_id: Column, cuts: list[int]) -> Column:
+    """Number of the stretch of an id: 0 holds the largest ids; ids that are null come last. Looked up in two steps."""
+    if not cuts:
+        return F.when(doc_id.isNull(), F.lit(1)).otherwise(F.lit(0))
+    step = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    below = lambda edges: F.size(F.filter(edges, lambda c: c < doc_id))
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in rows])), "array<bigint>")
+    row = F.greatest(below(heads) - 1, F.lit(0))
+    inner = F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")
+    return F.when(doc_id.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - (row * step + below(F.get(inner, row))))
+
+
+def with_next(rows: DataFrame, carried: list[str], pieces: int | None = None) -> DataFrame:
+    """``rows`` (doc_id, digest, ...) with ``next``, a struct of the ``carried`` columns of the next row.
+
+    Order: doc_id descending, nulls last, equal ids by digest; the first follows the last. Rows move
+    once, to the stretch of their id; the first row of a stretch is also sent to the stretch before.
+    """
+    if pieces is None:
+        pieces = min(rows.count() // ROWS_PER_STRETCH + 1, MOST_STRETCHES)
+    at = stretch_of(F.col("doc_id"), _cuts(rows, pieces))
+    rank = F.struct(F.negative("doc_id").alias("n"), "digest")
+    firsts = rows.groupBy(at.alias("stretch")).agg(F.min(rank).alias("first")).orderBy("stretch").collect()  # a row per stretch
+    before = [firsts[i - 1]["stretch"] for i in range(len(firsts))]
+    ghosts = rows.sparkSession.createDataFrame([(*f["first"], b) for f, b in zip(firsts, before)], "_n bigint, _digest bigint, _to int")
+    sent = rows.join(F.broadcast(ghosts), F.negative("doc_id").eqNullSafe(F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")  # at most MOST_STRETCHES rows
+    own = F.struct(at.alias("stretch"), F.lit(False).alias("ghost"))
+    copy = F.struct(F.col("_to").alias("stretch"), F.lit(True).alias("ghost"))
+    sent = sent.select(*rows.columns, F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("_at"))
+    order = Window.partitionBy("_at.stretch").orderBy("_at.ghost", F.col("doc_id").desc_nulls_last(), "digest")
+    return sent.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_at.ghost")).drop("_at")
+
+
+def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, pieces: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
     The edited text is the text with its last third replaced by as many characters from the start of
-    the next document, in descending order of doc_id (nulls last; documents of one id by their
-    digest); the first follows the last. Rows that repeat are one document in that order. Texts move
-    once, to their place in the order; only starts and hashes travel on to the document before.
+    the next document, in the order of ``with_next``; rows that repeat follow each other. A text is
+    hashed before it moves, and it moves once.
     """
     lists = lexicon(docs, band)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    digest = F.xxhash64("text")
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(digest))
-    rows = rows.withColumns({"key": key, "size": F.length("text").cast("bigint")})
-
-    facts = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"))
-    places = cut_lineage(global_row_number(facts, [F.col("doc_id").desc_nulls_last(), F.col("key")], "place"))
-    total = places.count()
-    before = places.select(((F.col("place") + 1) % total).alias("place"), F.col("key").alias("before"), F.floor(F.col("size") / 3).cast("int").alias("third"))
-    route = places.join(before, "place").select("key", "before", "third")
-
-    placed = with_hashes(rows, "text", lists, "hashes").join(route, "key")
-    starts = placed.dropDuplicates(["key"]).select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("third")).alias("start"), F.col("hashes").alias("next_hashes"))
-    joined = placed.join(starts, "key")
-    kept = F.col("size") - F.floor(F.col("size") / 3)
-    joined = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), "start"))
-    joined = with_hashes(joined, "edited", lists, "edited_hashes")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = with_hashes(rows.withColumn("digest", F.xxhash64("text")), "text", lists, "hashes")
+    if pieces is None:
+        pieces = min(docs.count() // ROWS_PER_STRETCH + 1, MOST_STRETCHES)
+    joined = with_next(rows, ["text", "hashes"], pieces).withColumn("size", F.length("text").cast("bigint"))
+    third = F.floor(F.col("size") / 3).cast("int")
+    kept = (F.col("size") - third).cast("int")
+    joined = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.substring(F.col("next.text"), F.lit(1), third)))
+    joined = with_hashes(joined.select("doc_id", "size", "hashes", "edited", F.col("next.hashes").alias("next_hashes")), "edited", lists, "edited_hashes")
     return joined.select(
         "doc_id", F.col("size").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("hashes")).alias("fingerprint"), as_string(F.col("edited_hashes")).alias("edited_fingerprint"),

@@ -131,25 +131,27 @@ def test_near_duplicates(spark):
 
 # I-Match
 
-def test_edited_fingerprints(spark):
+@pytest.mark.parametrize("pieces", [None, 7, 60])
+def test_edited_fingerprints(spark, pieces):
     rows = [*AWKWARD, *[(100 + i, *r[1:]) for i, r in enumerate(corpus())]]
     docs = table(spark, rows, extra=True)
-    got = imatch.edited_fingerprints(docs, band=(0.01, 0.9)).cache()
-    assert got.count() == len(rows)
-    unique = {r[0]: r[1] or "" for r in rows if r[0] is not None}
-    ids = sorted(unique, reverse=True)
-    texts = [unique[i] for i in ids] + [next(r[1] for r in rows if r[0] is None)]
-    ids.append(None)
-    by_text = defaultdict(set)
-    for r in got.collect():
-        k = ids.index(r["doc_id"])
-        text, following = texts[k], texts[(k + 1) % len(texts)]
+    got = imatch.edited_fingerprints(docs, (0.01, 0.9), pieces).cache()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want, by_text = [], defaultdict(set)
+    edits = {}
+    for k, r in enumerate(order):
+        text, following = r[1] or "", order[(k + 1) % len(order)][1] or ""
         third = len(text) // 3
         edited = text[: len(text) - third] + following[:third]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        edits[digest] = edited
+        want.append((r[0], len(text), digest))
+    assert rows_of(got, "doc_id", "n_chars", "edited_sha256") == none_last(want)
+    unique = {r[0]: r[1] or "" for r in rows}
+    for r in got.collect():
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        by_text[text].add(r["fingerprint"])
-        by_text[edited].add(r["edited_fingerprint"])
+        by_text[unique[r["doc_id"]]].add(r["fingerprint"])
+        by_text[edits[r["edited_sha256"]]].add(r["edited_fingerprint"])
     assert all(len(p) == 1 for p in by_text.values())
     means = got.where("n_chars > 300").selectExpr("avg(near_edited) e", "avg(near_next) n").first()
     assert means["e"] > means["n"]
