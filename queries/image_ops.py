@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from queries.base import SQL, query, table
 from queries.io_ops import png_files
 from tabloom.operators import image, metrics, models
+from tabloom.session import cut_lineage
 from tabloom.sources import archives, files
 
 
@@ -176,6 +177,6 @@ def feature_table(spark, d):
 def classifier(spark, d):
     feats = ["Red_Mean", "Red_Std", "Gray_Mean", "Gray_Std", "GLCM_Contrast", "GLCM_Correlation"]
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
-    data = image.feature_table(pixels(spark, d)).join(labels, "image_id").persist()
+    data = cut_lineage(image.feature_table(pixels(spark, d)).join(labels, "image_id"))
     out = models.auto_train_classification(data, "image_id", feats, "label")
     return metrics.accuracy(out["scored"])

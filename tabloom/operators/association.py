@@ -13,6 +13,8 @@ from tabloom.session import cut_lineage
 
 PAIRS_PER_PASS = 200
 
+CELLS_PER_SLICE = 100_000
+
 
 def _pair_schema() -> str:
     return "a string, b string, r double"
@@ -96,7 +98,7 @@ def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     return _named_pairs(df, cols, by_pair.select("pair", r.alias("r")))
 
 
-def kendall_pairs(df: DataFrame, cols: list[str], slice_bits: int = 10) -> DataFrame:
+def kendall_pairs(df: DataFrame, cols: list[str], slice_bits: int | None = None) -> DataFrame:
     """Tau-b for all pairs without forming pairs of rows.
 
     Distinct cells (x, y, n) get dense codes. Discordant pairs are counted one bit of the y code
@@ -104,16 +106,18 @@ def kendall_pairs(df: DataFrame, cols: list[str], slice_bits: int = 10) -> DataF
     prefix the job needs, for each row with bit 0, the weight of rows with bit 1 at a smaller x.
     That is a running sum. Prefix groups can be as large as the table, therefore x codes are cut
     into slices: sums inside a slice by window, sums of whole slices by a window over slice totals.
+    The number of slices follows the number of cells.
     """
     cells = cut_lineage(_pair_cells(df, cols))
     codes = running_share(cut_lineage(_by_axis(cells, F.max(F.lit(1)))), ["pair", "axis"], "value", "m", "code")
     coded = cut_lineage(
         _join_axes(cells, codes, "code").select("pair", F.col("code_x").alias("cx"), F.col("code_y").alias("cy"), F.col("n").cast("double").alias("n"))
     )
-    top = coded.agg(F.max("cx"), F.max("cy")).first()
+    top = coded.agg(F.max("cx"), F.max("cy"), F.count(F.lit(1))).first()
     if top[0] is None:
         return _named_pairs(df, cols, coded.select("pair", F.col("n").alias("r")))
     bits = max(1, int(top[1]).bit_length())
+    slice_bits = max(10, (int(top[2]) // CELLS_PER_SLICE).bit_length()) if slice_bits is None else slice_bits
     shift_x = max(0, int(top[0]).bit_length() - slice_bits)
     choose2 = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     all_ties = coded.groupBy("pair").agg(F.sum("n").alias("total"), choose2("n").alias("xy_tie"))

@@ -16,6 +16,7 @@ from tabloom.operators.clean import scale_for_clustering
 from tabloom.operators.neighbors import assign_nearest, kth_distance, silhouette_score, vectorised
 from tabloom.operators.quantiles import column_quantiles
 from tabloom.plans.recipe import Recipe
+from tabloom.session import cut_lineage
 
 MAX_CENTROIDS = 1_000
 
@@ -74,8 +75,10 @@ def lloyd_step(df: DataFrame, vector: str, centroids: list[list[float]]) -> Data
     return wide.select("cluster", "rows", F.posexplode(F.array(*[F.col(f"m{i}") for i in range(dims)])).alias("position", "value"))
 
 
-def elbow_curve(df: DataFrame, key: str, vector: str, ks: range | None = None, seed: int = 42, n_init: int = 10, exact: bool = True) -> DataFrame:
-    """(k, inertia, silhouette). ``exact`` = Euclidean silhouette by blocks; else Spark's squared Euclidean one."""
+def elbow_curve(df: DataFrame, key: str, vector: str, ks: range | None = None, seed: int = 42, n_init: int = 10, exact: bool = False) -> DataFrame:
+    """(k, inertia, silhouette). The silhouette is Spark's squared Euclidean one, from sums per cluster;
+    ``exact`` takes the Euclidean one, which compares all rows by blocks and so costs their square.
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     data = from_arrays(df.select(col(key).alias("id"), col(vector).cast("array<double>").alias("v")), "v").persist()
@@ -125,16 +128,16 @@ def noise_free_silhouette(points: DataFrame) -> DataFrame:
 
 
 def auto_cluster(df: DataFrame, key: str, cols: list[str], method: str = "kmeans", missing_rule: str = "mean", seed: int = 42,
-                 ks: range | None = None, n_init: int = 10) -> dict:
-    """Scale, choose parameters, fit: labels, decision, scaler (and centroids for K-Means)."""
+                 ks: range | None = None, n_init: int = 10, exact: bool = False) -> dict:
+    """Scale, choose parameters, fit: labels, decision, scaler (and centroids for K-Means). ``exact`` as in ``elbow_curve``."""
     scaled, scaler = scale_for_clustering(df, cols, missing_rule)
     if method == "dbscan":
         d = decide_dbscan(scaled, key, cols)
         labels = density.dbscan(scaled, key, cols, d["eps"], d["min_samples"])
         return {"labels": labels, "decision": d, "scaler": scaler, "centroids": None, "scaled": scaled}
     points = vectorised(scaled, cols, key)
-    d = decide_k(elbow_curve(points, "id", "v", ks, seed, n_init))
-    data = from_arrays(points, "v").persist()
+    d = decide_k(elbow_curve(points, "id", "v", ks, seed, n_init, exact))
+    data = cut_lineage(from_arrays(points, "v"))
     fit = k_means(data, d["k"], seed, n_init)
     labels = fit.transform(data).select(F.col("id").alias(key), "cluster")
     return {"labels": labels, "decision": d, "scaler": scaler, "centroids": fit.centroids(), "scaled": scaled}

@@ -22,6 +22,7 @@ from tabloom.operators import metrics
 from tabloom.operators.association import max_pairwise_correlation
 from tabloom.operators.neighbors import knn_vote, vectorised
 from tabloom.operators.split import complete_cases, decide_split, encode_target, k_fold, train_test_split
+from tabloom.session import cut_lineage
 
 REGRESSORS = ("linear", "ridge", "lasso", "polynomial")
 CLASSIFIERS = ("logistic", "knn", "svm_rbf", "linear_svc", "decision_tree", "random_forest", "naive_bayes")
@@ -114,7 +115,7 @@ def decide_regression_model(df: DataFrame, features: list[str], threshold: float
 
 def auto_train_regression(df: DataFrame, key: str, features: list[str], target: str, seed: int = 42) -> dict:
     decision = decide_regression_model(df, features)
-    data = complete_cases(df.select(key, *features, target), [*features, target]).persist()
+    data = cut_lineage(complete_cases(df.select(key, *features, target), [*features, target]))
     n = data.count()
     plan = decide_split(n)
     parts = train_test_split(data, key, plan["test_size"], seed)
@@ -264,7 +265,7 @@ def decide_classification_model(n: int, threshold: int = 150) -> dict:
 def auto_train_classification(df: DataFrame, key: str, features: list[str], target: str, seed: int = 42) -> dict:
     data = complete_cases(df.select(key, *features, target), [*features, target])
     encoded, mapping = encode_target(data, target, "_code")
-    encoded = encoded.drop(target).withColumn("label", F.col("_code").cast("double")).drop("_code").persist()
+    encoded = cut_lineage(encoded.drop(target).withColumn("label", F.col("_code").cast("double")).drop("_code"))
     n = encoded.count()
     decision, plan = decide_classification_model(n), decide_split(n)
     parts = train_test_split(encoded, key, plan["test_size"], seed, "label")

@@ -10,12 +10,11 @@ from tabloom.functions.columns import (
     categorical_columns,
     col,
     is_datetime,
-    is_numeric_like,
     missing,
     numeric_columns,
     present,
 )
-from tabloom.operators.quantiles import column_quantiles, melt_numeric, quantiles_by_key
+from tabloom.operators.quantiles import column_quantiles, quantiles_by_key
 
 COLUMNS_PER_PASS = 200  # keeps one aggregate's generated code within bounds
 

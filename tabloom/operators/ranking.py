@@ -107,7 +107,7 @@ def running_share(
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(*upto)
         return counts.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0)))
     if buckets is None:
-        buckets = min(4_096, max(16, counts.count() // ROWS_PER_SLICE))
+        buckets = max(16, counts.count() // ROWS_PER_SLICE)
     fine = max(2, math.isqrt(buckets))
     probs = [i / (fine * fine) for i in range(1, fine * fine)]
     cuts = F.percentile_approx(order, probs, 10_000)

@@ -51,7 +51,7 @@ def classify_text(corpus: DataFrame, label: str, vectorizer: Vectorizer, choice:
     labelled = corpus.withColumn("_class", F.coalesce(col(label).cast("string"), F.lit("unknown")))
     coded, mapping = label_encode(labelled.select(key, "_class"), "_class", "label")
     data = vectorizer.vectors(corpus, key).join(coded.select(F.col(key).alias("doc_id"), F.col("label").cast("double").alias("label")), "doc_id")
-    parts = train_test_split(data, "doc_id", test_size, seed, "label").persist()
+    parts = cut_lineage(train_test_split(data, "doc_id", test_size, seed, "label"))
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     n, classes = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     est = {

@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.session import checkpoint_dir
+
 ENTRY = "archive string, entry_no int, name string, content binary"
 
 
@@ -42,6 +44,10 @@ def last_by_name(entries: DataFrame) -> DataFrame:
 def store_files(files: DataFrame, folder: str) -> DataFrame:
     """Write (name, content) rows as files below a shared folder; returns (name, size)."""
     target = folder if "://" in folder else folder.replace("file:", "", 1)
+    if "://" not in target and not files.sparkSession.sparkContext.master.startswith("local"):
+        # A folder that all machines mount has to be named as such: a local one would differ between executors.
+        if not target.startswith(checkpoint_dir(files.sparkSession).replace("file://", "", 1).replace("file:", "", 1)):
+            raise ValueError("name a shared folder: each executor would write to its own disk")
 
     def put(batches):
         import pandas as pd
