@@ -9,7 +9,8 @@ share and the document's preference), and the first in rank that fit are taken,
 document that closes the remaining gap best is added, if that brings the source nearer to its target.
 
 The rank is cut without sorting a source: sizes are summed in fine slices of the rank, and only the
-slice that holds the cut is ordered row by row. Random numbers are digests of the document's id, so
+slice that holds the cut is ordered row by row. Tables with a row per source are broadcast after a
+check of their size, so that a source with very many documents is not gathered in one task. Random numbers are digests of the document's id, so
 reruns agree; rows that repeat are drawn one by one.
 
 Nulls and empties: a null or empty text has size 0 and is never taken; null sources are one source,
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.blocks import fresh
-from tabloom.session import cut_lineage
+from tabloom.session import broadcast_if_small, cut_lineage
 
 SLICES = 1 << 14  # slices of the rank; the cut orders one of them
 PASSES = 2  # passes down the rank; the second uses the gap that a large document left at the first cut
@@ -64,14 +65,14 @@ def _first_that_fit(rows: DataFrame) -> DataFrame:
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by_slice), F.lit(0)))
     over = sums.where(F.col("before") + F.col("words") > F.col("open"))
     cuts = over.groupBy("place").agg(F.min(F.struct("slice", "before")).alias("at")).select("place", F.col("at.slice").alias("cut"), "at.before")
-    marked = rows.join(cuts, "place", "left")
+    marked = rows.join(broadcast_if_small(cut_lineage(cuts)), "place", "left")
     at_cut = may & F.col("cut").isNotNull() & (F.col("slice") == F.col("cut"))
     running = Window.partitionBy("place").orderBy("rank", "doc_id", "size", "nth")
     inside = marked.where(at_cut).withColumn("now", F.col("before") + F.sum("size").over(running) <= F.col("open"))
     outside = marked.where(~at_cut).withColumn("now", may & F.coalesce(F.col("slice") < F.col("cut"), F.lit(True)))
     both = cut_lineage(inside.unionByName(outside).drop("cut", "before"))
     held = both.groupBy("place").agg(F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))), F.lit(0)).cast("double").alias("held"))
-    both = both.join(held, "place").withColumns({"open": F.col("open") - F.col("held"), "extra": F.col("extra") | F.col("now")})
+    both = both.join(broadcast_if_small(cut_lineage(held)), "place").withColumns({"open": F.col("open") - F.col("held"), "extra": F.col("extra") | F.col("now")})
     return both.drop("held", "now")
 
 
@@ -82,7 +83,7 @@ def draw(units: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.withColumn("open", F.col("target") - (F.col("copies") * F.col("source_size")).cast("double"))
     plan = cut_lineage(plan.withColumn("left", F.when(F.col("source_size") > 0, share - F.col("copies")).otherwise(F.lit(0.0))))
     slim = plan.select(F.col("source").alias("_source"), "place", "source_size", "n_docs", "target", "copies", "open", "left")
-    rows = units.join(slim, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = units.join(broadcast_if_small(slim), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     label = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("nth").cast("string"))
     uniform = (F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     # Preference: documents longer than the mean of their source come a little sooner, shorter ones later.
@@ -95,7 +96,7 @@ def draw(units: DataFrame, plan: DataFrame) -> DataFrame:
         picked = cut_lineage(_first_that_fit(picked))
     fills = picked.where(~F.col("extra")).withColumn("miss", F.abs(F.col("size") - F.col("open"))).where(F.col("miss") < F.col("open"))
     fills = fills.groupBy("place").agg(F.min(F.struct("miss", "rank", "doc_id", "nth", "size")).alias("fill"))
-    picked = picked.join(fills, "place", "left")
+    picked = picked.join(broadcast_if_small(cut_lineage(fills)), "place", "left")
     filled = F.col("fill").isNotNull() & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("nth") == F.col("fill.nth")) & (F.col("size") == F.col("fill.size"))
     picked = picked.withColumn("extra", F.col("extra") | F.coalesce(filled, F.lit(False))).drop("fill")
     out = picked.unionByName(rows.where(F.col("rank").isNull()).withColumn("extra", F.lit(False)))
