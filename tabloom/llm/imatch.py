@@ -137,7 +137,7 @@ def stretch_of(doc_id: Column, cuts: list[int]) -> Column:
 
 
 def with_next(rows: DataFrame, carried: list[str], pieces: int | None = None) -> DataFrame:
-    """``rows`` (doc_id, digest, ...) with ``next``, a struct of the ``carried`` columns of the next row.
+    """``rows`` (doc_id, digest, ...) with ``next_<column>`` of the next row for each of the ``carried`` columns.
 
     Order: doc_id descending, nulls last, equal ids by digest; the first follows the last. Rows move
     once, to the stretch of their id; the first row of a stretch is also sent to the stretch before.
@@ -154,7 +154,8 @@ def with_next(rows: DataFrame, carried: list[str], pieces: int | None = None) ->
     copy = F.struct(F.col("_to").alias("stretch"), F.lit(True).alias("ghost"))
     sent = sent.select(*rows.columns, F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("_at"))
     order = Window.partitionBy("_at.stretch").orderBy("_at.ghost", F.col("doc_id").desc_nulls_last(), "digest")
-    return sent.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_at.ghost")).drop("_at")
+    # Plain columns: an expression over them would travel next to them.
+    return sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where(~F.col("_at.ghost")).drop("_at")
 
 
 def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, pieces: int | None = None) -> DataFrame:
@@ -172,8 +173,8 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, piece
     joined = with_next(rows, ["text", "hashes"], pieces).withColumn("size", F.length("text").cast("bigint"))
     third = F.floor(F.col("size") / 3).cast("int")
     kept = (F.col("size") - third).cast("int")
-    joined = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.substring(F.col("next.text"), F.lit(1), third)))
-    joined = with_hashes(joined.select("doc_id", "size", "hashes", "edited", F.col("next.hashes").alias("next_hashes")), "edited", lists, "edited_hashes")
+    joined = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.substring(F.col("next_text"), F.lit(1), third)))
+    joined = with_hashes(joined.select("doc_id", "size", "hashes", "edited", "next_hashes"), "edited", lists, "edited_hashes")
     return joined.select(
         "doc_id", F.col("size").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("hashes")).alias("fingerprint"), as_string(F.col("edited_hashes")).alias("edited_fingerprint"),
