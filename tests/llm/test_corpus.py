@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from tabloom.llm import gam, imatch, langid, mixing, simhash, token_scan, url_filter
+import corpus_pipeline
+from tabloom.llm import gam, imatch, langid, mixing, near, simhash, token_scan, url_filter
 from tests.llm.helpers import AWKWARD, corpus, rows_of, table
 from tests.llm.test_texts import WORD, slow_fingerprint
 
@@ -129,6 +131,57 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def slow_shingles(text):
+    words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_copies_of_similarity(spark):
+    """One changed word in 60 leaves a similarity above 0.8, but often more than 4 different bits."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(r.randint(40, 90))]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            copy = list(words)
+            for at in r.sample(range(len(words)), r.choice([1, 1, 2, 4])):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    hub = [word() for _ in range(80)]
+    texts += [" ".join([*hub[:i], word(), *hub[i + 1:]]) for i in range(80)]  # a large family
+    r.shuffle(texts)
+    sets = [slow_shingles(t) for t in texts]
+    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    want, seen = set(), set()
+    for i in range(len(texts)):
+        if i in seen:
+            continue
+        want.add(i)
+        todo = [i]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += [j for j in range(len(texts)) if j not in seen and similar(sets[at], sets[j])]
+    docs = table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)], extra=True)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert rows_of(kept, "doc_id") == [(i,) for i in sorted(want)]
+    assert near.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_per_component_whatever_the_ids(spark):
+    a, b = "a first text of some seven words", "another text that has eight words in all"
+    rows = [(5, a, "en", "x", 0), (1, b, "en", "x", 0), (5, b, "en", "y", 0), (1, b, "en", "x", 0), (None, a, "en", "z", 0), (None, "without an id", "en", "x", 0), (None, "without an id", "en", "x", 0),
+            (None, None, "en", "x", 0), (7, "", "en", "x", 0)]
+    kept = corpus_pipeline.simhash_near_dedup(spark, table(spark, rows), "")
+    assert rows_of(kept, "doc_id", "text") == [(1, b), (5, a), (7, ""), (None, "without an id")]
+
+
 # I-Match
 
 @pytest.mark.parametrize("pieces", [None, 7, 60])
