@@ -2,7 +2,8 @@
 
 A page is a node: its URL without scheme, fragment, default port, tracking parameters and closing
 slash. Canonical links and refresh redirects in its HTML are edges to other nodes; components of the
-graph are aliases of one page. A URL that a rule fits has the rule's verdict. Any other URL is
+graph are aliases of one page. A URL that a rule fits, closing slash included, has the rule's verdict,
+whether it is the URL of a row or only the target of a link. Any other URL is
 blocked if a rule blocks one of its aliases, unless a rule explicitly allows one of them; without
 either it is allowed. Everything is DataFrame expressions; hosts with very many pages are ordinary
 rows here, since nodes are whole URLs.
@@ -45,9 +46,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def without_port(host: Column) -> Column:
+    """``host`` without a default port."""
+    return F.regexp_replace(host, r":(?:80|443)$", "")
+
+
 def node_of(url: Column) -> Column:
     """What aliases by convention share; null for what is no URL of a page."""
-    host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
+    host = without_port(host_of(url))
     query = F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
     path = F.regexp_replace(path_of(url), r"/$", "")
@@ -88,18 +94,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, red
     url = F.col("url")
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), links_of(F.col("html"), url).alias("links"))
     rows = cut_lineage(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)))
-    edges = rows.select(F.col("node").alias("u"), F.explode("links").alias("link")).select("u", node_of(F.col("link")).alias("v"))
-    targets = edges.select("v")
+    edges = rows.select(F.col("node").alias("u"), F.explode("links").alias("link"))
+    named = edges.select("link")
+    edges = edges.select("u", node_of(F.col("link")).alias("v"))
     if redirects is not None:
-        known = redirects.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v"))
-        edges, targets = edges.unionByName(known), targets.unionByName(known.select("v")).unionByName(known.select(F.col("u").alias("v")))
+        edges = edges.unionByName(redirects.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")))
         # A redirect's ends are URLs too: a rule that fits them speaks for their aliases.
+        named = named.unionByName(redirects.select(F.explode(F.array("url", "target")).alias("link")))
     aliases = connected_components(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct())
 
     said = lambda verdict: F.coalesce(F.max(F.col("fit.verdict") == verdict), F.lit(False))
-    named = targets.where(F.col("v").isNotNull()).distinct().select(F.col("v").alias("node"))
-    whole = F.concat(F.lit("//://"), F.col("node"))
-    named = named.withColumn("fit", rule_of(host_of(whole), path_of(whole), rules))
+    # A rule may end where the path does: it is held against the path as it is written, which the node has no more.
+    link = F.col("link")
+    named = named.select(node_of(link).alias("node"), without_port(host_of(link)).alias("host"), path_of(link).alias("path")).where(F.col("node").isNotNull()).distinct()
+    named = named.select("node", rule_of(F.col("host"), F.col("path"), rules).alias("fit"))
     spoken = rows.where(F.col("node").isNotNull()).select("node", "fit").unionByName(named).where(F.col("fit").isNotNull())
     verdicts = spoken.groupBy("node").agg(said("block").alias("blocks"), said("allow").alias("allows"))
     member = lambda df: df.join(aliases.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("component", "node"))

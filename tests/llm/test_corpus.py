@@ -396,3 +396,15 @@ def test_known_redirects_and_no_python(spark):
     assert {r["page_id"]: r["verdict"] for r in judged.collect()}[15] == "block"
     for frame in (judged, imatch.edited_fingerprints(table(spark))):
         assert "Python" not in frame._jdf.queryExecution().toString() and "Arrow" not in frame._jdf.queryExecution().toString()
+
+
+def test_rules_that_end_where_an_uncrawled_target_does(spark):
+    canonical = "<link rel=canonical href='%s'>"
+    pages = spark.createDataFrame([
+        (1, "http://a.net/1", canonical % "https://shop.com/de/"), (2, "http://b.net/1", canonical % "https://shop.com:443/de/?utm_source=x"),
+        (3, "http://c.net/1", canonical % "https://x.org/" + canonical % "https://shop.com/de/1"),  # the allow of org/ outranks
+        (4, "http://d.net/1", canonical % "https://a.example.org/es/"), (5, "http://e.net/1", canonical % "https://other.com/de"),
+        (6, "http://f.net/1", None), (7, "http://g.net/1", None)], "page_id bigint, url string, html string")
+    known = spark.createDataFrame([("http://f.net/1", "https://w.com/de/"), ("https://v.com/de/", "http://g.net/1")], "url string, target string")
+    got = rows_of(url_filter.judge(pages, redirects=known), "page_id", "rule", "verdict")
+    assert got == [(1, None, "block"), (2, None, "block"), (3, None, "allow"), (4, None, "block"), (5, None, "allow"), (6, None, "block"), (7, None, "block")]
