@@ -26,7 +26,10 @@ from tabloom.llm.blocks import as_texts, map_blocks
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template title noembed noframes iframe object audio video canvas svg math datalist".split())
+UNSEEN = set("head script style template title noembed noframes iframe object audio video canvas datalist".split())
+#: Not shown inside the key; other text of drawings and formulas is.
+UNSEEN_IN = {"svg": set("desc defs metadata".split()), "math": {"annotation", "annotation-xml"}}
+APART = {"text", "mtd"}  # labels of a drawing, cells of a formula
 BLOCK = set("address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form "
             "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul".split())
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())  # an empty line before and after
@@ -38,9 +41,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
         "tfoot": {"tr", "td", "th", "thead", "tbody", "caption"}, "body": {"head"}}
 LIMITS = {"li": LISTS, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}, "body": set()}
 TABLE = {"table"}
+MOST_ROWS = 65_534  # that a cell spans, as in HTML
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary"} | {"tr", "td", "th", "tbody"}
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?/](?![a-zA-Z])[^>]*>|<![a-zA-Z\[][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z])[^>]*>|<![a-zA-Z\[][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 AWAY = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -50,6 +54,16 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in ATTRIBUTE.finditer(text)}
 
 
+def ends_itself(text: str) -> bool:
+    """Whether the closing slash of a tag is one, and not the end of an unquoted value."""
+    if not text.endswith("/"):
+        return False
+    last = None
+    for last in ATTRIBUTE.finditer(text):
+        pass
+    return last is None or last[4] is None or last.end() < len(text)
+
+
 class Node:
     """An element; children are elements and strings."""
 
@@ -96,6 +110,8 @@ def parse(page: str) -> Node:
         text(page[at:m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith(("->", "--!>")):
+                break  # the comment goes on to the end of the page
             continue
         tag = m[2].lower()
         if m[1]:
@@ -115,9 +131,14 @@ def parse(page: str) -> Node:
             close({"p"}, {"td", "th", "button", "caption", "table"} | TABLE)
         if tag in ENDS:
             close(ENDS[tag], LIMITS.get(tag, TABLE))
+        foreign = [t for t in UNSEEN_IN if places.get(t)]
+        if any(tag in UNSEEN_IN[t] for t in foreign):
+            attrs["hidden"] = ""
+        if foreign and tag in APART:
+            stack[-1].children.append(" ")
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or ((foreign or tag in UNSEEN_IN) and ends_itself(m[3])):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -195,17 +216,25 @@ class Lines:
 
 
 class Table:
-    """Rows of cells (text, columns it spans)."""
+    """Rows of cells (text, columns and rows it spans); a caption is a row of its own that spans no row."""
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.groups: set[int] = set()  # rows that begin a group of rows; no cell reaches into the next group
 
     def text(self) -> list[str]:
-        """Lines with aligned columns; a cell of several lines takes several lines."""
+        """Lines with aligned columns; a cell of several lines takes several lines, one of several rows stands in the first."""
         grid = []
-        for row in self.rows:
+        until: dict[int, int] = {}  # column: first row that a cell from above does not reach
+        for k, row in enumerate(self.rows):
+            if k in self.groups:
+                until = {}
             cells: list[list[str]] = []
-            for content, span in row:
+            for content, span, down in row:
+                while down and until.get(len(cells), 0) > k:
+                    cells.append([""])
+                if down > 1:
+                    until.update((c, k + down) for c in range(len(cells), len(cells) + span))
                 cells += [content.split("\n"), *[[""]] * (span - 1)]
             grid.append(cells)
         columns = max(map(len, grid), default=0)
@@ -249,6 +278,8 @@ def render(root: Node) -> str:
                 out = Lines()
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
+            elif tag in ("tbody", "thead", "tfoot") and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             elif tag in BLOCK:
                 nested = tag in LISTS and lists
                 out.block(2 if tag in SPACED and not nested and not (tag == "p" and lists and out.prefix) else 1)
@@ -274,8 +305,11 @@ def render(root: Node) -> str:
             content, out = out.done(), outer.pop()
             if tag == "caption" or not tables[-1].rows:
                 tables[-1].rows.append([])
-            span = node.attrs.get("colspan", "")
-            tables[-1].rows[-1].append((content, min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1))
+            span, down = node.attrs.get("colspan", ""), node.attrs.get("rowspan", "")
+            down = min(int(down) or MOST_ROWS, MOST_ROWS) if re.fullmatch(r"\d{1,9}", down) else 1  # 0: to the end of the group
+            tables[-1].rows[-1].append((content, min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1, 0 if tag == "caption" else down))
+        elif tag in ("tbody", "thead", "tfoot") and tables:
+            tables[-1].groups.add(len(tables[-1].rows))
         elif tag == "table":
             loose, out = out.done(), outer.pop()  # text in a table outside its cells stands before it
             for line in [*([loose] if loose else []), *tables.pop().text()]:

@@ -142,6 +142,22 @@ def test_html_layout():
         "Name         N", "Longer name  1", "日本         2", "", "after", "", "  keep", "    this", "", "1 < 2 & 3 end"]
 
 
+def test_html_formulas_and_drawings():
+    page = """a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="tex">no</annotation><annotation-xml>no</annotation-xml></math> b
+<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><path d="M0"/><defs/><text>Label</text><text>two <tspan>three</tspan></text></svg> <desc>c</desc>"""
+    assert html_text.text_of(page) == "a x=2 b Label two three c"
+
+
+def test_html_cells_of_several_rows():
+    page = "<table><caption>T<tr><th rowspan=2>A<th>B<th rowspan='0'>C<tr><td>b2<td>d2<tr><td>a3<td>b3<td>d3<tbody><tr><td>x<td>y<td>z</table>"
+    assert html_text.text_of(page).split("\n") == ["T", "A   B   C", "    b2     d2", "a3  b3     d3", "x   y   z"]
+
+
+def test_html_comment_without_end():
+    assert html_text.text_of("<p>seen</p><!-- <b>no</b> tail") == "seen"
+    assert html_text.text_of("a<!-->b<!--->c<!-- no -->d<!-- no --!>e") == "abcde"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("<>pliu/td r\"'&;!-abc", max_size=60))
 def test_html_never_fails(page):
