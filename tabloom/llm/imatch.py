@@ -12,8 +12,10 @@ subset is informative when it meets a handful of a document's terms. Two fingerp
 as the share of equal hashes among the subsets that either text meets, in the density where that
 says most.
 
-Nulls and empties: a null text is an empty one; texts without lexicon terms all have the fingerprint
-of no terms, and its likeness to itself is 1. Equal texts have equal fingerprints.
+Nulls and empties: a null text is an empty one; texts without terms have the fingerprint of no terms,
+and its likeness to itself is 1. ``edited_fingerprints`` hashes all terms of a text that meets no
+subset, so different ones stay different; ``fingerprint`` gives these the fingerprint of no terms.
+Equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -76,18 +78,25 @@ def _in_any(bits: int) -> Callable[[Column], Column]:
     return lambda member: member["m"].bitwiseAND(F.lit(bits)) != 0
 
 
-def with_hashes(docs: DataFrame, text: str, lists: Column, name: str) -> DataFrame:
+def with_hashes(docs: DataFrame, text: str, lists: Column, name: str, fallback: bool = False) -> DataFrame:
     """``docs`` with ``name``: 64 hashes of the text's sorted lexicon terms, one per subset; NONE where it has no term of the subset.
 
     Terms, and those of each density, are columns of their own first: the terms are worked out once,
-    and a thin subset is looked for only among the few terms that are in any of its density.
+    and a thin subset is looked for only among the few terms that are in any of its density. With
+    ``fallback``, a text that has terms but none in any subset gets 64 hashes of all its terms.
     """
     known = F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get(lists, F.pmod(t, F.lit(LISTS)).cast("int")), t))
     out = docs.withColumn("_members", F.transform(F.array_sort(known), lambda t: F.struct(t.alias("t"), memberships(t).alias("m"))))
     groups = {f"_density{d}": ((1 << PER_DENSITY) - 1) << (PER_DENSITY * k) for k, d in enumerate(DENSITIES)}
     out = out.withColumns({group: F.filter("_members", _in_any(bits)) for group, bits in groups.items()})
     each = [F.hash(F.filter(group, _in_any(1 << (PER_DENSITY * k + i)))) for k, group in enumerate(groups) for i in range(PER_DENSITY)]
-    return out.withColumn(name, F.array(*each)).drop("_members", *groups)
+    out = out.withColumn(name, F.array(*each)).drop("_members", *groups)
+    if not fallback:
+        return out
+    all_terms = F.xxhash64(F.array_sort(terms(F.col(text))))  # worked out for these few texts only
+    whole = F.transform(F.sequence(F.lit(0), F.lit(len(each) - 1)), lambda k: F.hash(all_terms, k))
+    unmet = (F.array_min(name) == NONE) & (F.array_max(name) == NONE) & (F.trim(F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")) != "")
+    return out.withColumn(name, F.when(unmet, whole).otherwise(F.col(name)))
 
 
 def as_string(values: Column) -> Column:
@@ -167,14 +176,14 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, piece
     """
     lists = lexicon(docs, band)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_hashes(rows.withColumn("digest", F.xxhash64("text")), "text", lists, "hashes")
+    rows = with_hashes(rows.withColumn("digest", F.xxhash64("text")), "text", lists, "hashes", fallback=True)
     if pieces is None:
         pieces = min(docs.count() // ROWS_PER_STRETCH + 1, MOST_STRETCHES)
     joined = with_next(rows, ["text", "hashes"], pieces).withColumn("size", F.length("text").cast("bigint"))
     third = F.floor(F.col("size") / 3).cast("int")
     kept = (F.col("size") - third).cast("int")
     joined = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.substring(F.col("next_text"), F.lit(1), third)))
-    joined = with_hashes(joined.select("doc_id", "size", "hashes", "edited", "next_hashes"), "edited", lists, "edited_hashes")
+    joined = with_hashes(joined.select("doc_id", "size", "hashes", "edited", "next_hashes"), "edited", lists, "edited_hashes", fallback=True)
     return joined.select(
         "doc_id", F.col("size").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("hashes")).alias("fingerprint"), as_string(F.col("edited_hashes")).alias("edited_fingerprint"),

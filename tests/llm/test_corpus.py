@@ -221,6 +221,15 @@ def test_lexicon_band(spark):
     assert len(empty) == len(other) == 1 and empty != other and next(iter(empty)) == "0000002a" * 64
 
 
+def test_texts_that_meet_no_subset(spark):
+    rows = [(i, f"unlike{i} other{i}" if i else "", "en", "a", 0) for i in range(40)] + [(50, "unlike7 other7", "en", "a", 0), (51, "other7  Unlike7", "en", "a", 0), (52, None, "en", "a", 0)]
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(table(spark, rows), (0.5, 0.9)).collect()}
+    assert len({got[i]["fingerprint"] for i in range(40)}) == 40
+    assert got[50]["fingerprint"] == got[51]["fingerprint"] == got[7]["fingerprint"]
+    assert got[0]["fingerprint"] == got[52]["fingerprint"] == "0000002a" * 64
+    assert got[51]["near_next"] == 1 and all(got[i]["near_next"] == 0 for i in range(1, 40))
+
+
 # Mixing
 
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
