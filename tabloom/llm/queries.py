@@ -1,11 +1,11 @@
-"""Queries op1 to op10 with their SQL counterparts; thin applications of the operators to whole tables."""
+"""Queries op1 to op13 with their SQL counterparts; thin applications of the operators to whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, gam, html_text, imatch, langid, mixing, rules, simhash, token_scan, url_filter
+from tabloom.llm import bpe, gam, html_text, imatch, langid, merkle, mixing, rules, simhash, token_scan, url_filter
 from tabloom.llm.blocks import read_documents
 from tabloom.llm.sql import SQL  # noqa: F401
 
@@ -70,3 +70,8 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_documents(read_documents(spark, sf_dir))

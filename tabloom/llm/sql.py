@@ -91,4 +91,31 @@ reach(node, other) AS (SELECT node, node FROM b WHERE node IS NOT NULL UNION SEL
 heard AS (SELECT r.node, bool_or(said = 'block') AS blocks, bool_or(said = 'allow') AS allows FROM reach r JOIN spoken s ON s.node = r.other WHERE said IS NOT NULL GROUP BY r.node)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN blocks AND NOT allows THEN 'block' ELSE 'allow' END) AS verdict FROM b LEFT JOIN heard USING (node)"""
 
-SQL = {"op5_quality_rules": OP5, "op7_pareto_mix": OP7, "op10_url_filter": OP10}
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_IDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: crc32 of the decimal id: each byte is mixed in, then shifted out bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+_LEVELS = """SELECT level + 1, tree, pos // 16, any_value((m + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM {0} WHERE m > 1 GROUP BY level, tree, pos // 16"""
+
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, sha256({_IDS} || {_FIELD.format("text")}) AS leaf, CASE WHEN {_CRC} % 5 = 0
+  THEN sha256({_IDS} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered FROM documents),
+s AS (SELECT source, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, count(*) AS m FROM d GROUP BY source),
+p AS (SELECT d.*, tree, m, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+lower_nodes AS (SELECT 0 AS level, tree, pos, m, leaf AS hash FROM p UNION ALL {_LEVELS.format("lower_nodes")}),
+sub AS (SELECT tree, hash FROM lower_nodes WHERE m = 1),
+upper_nodes AS (SELECT 0 AS level, -1 AS tree, tree AS pos, (SELECT count(*) FROM sub) AS m, hash FROM sub UNION ALL {_LEVELS.format("upper_nodes")}),
+nodes AS (SELECT * FROM lower_nodes WHERE m > 1 UNION ALL SELECT * FROM upper_nodes WHERE m > 1),
+runs AS (SELECT level, tree, pos // 16 AS up, list(hash ORDER BY pos) AS run FROM nodes GROUP BY ALL),
+walk AS (SELECT rid, tree AS home, 0 AS level, tree, pos, m, '' AS proof, coalesce(tampered, leaf) AS hash FROM p
+  UNION ALL
+  SELECT w.rid, w.home, CASE WHEN w.m > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN w.m > 1 THEN w.tree ELSE -1 END, CASE WHEN w.m > 1 THEN w.pos // 16 ELSE w.home END,
+    CASE WHEN w.m > 1 THEN (w.m + 15) // 16 ELSE (SELECT count(*) FROM sub) END,
+    CASE WHEN w.m > 1 THEN w.proof || array_to_string(r.run[:w.pos % 16], '') || array_to_string(r.run[w.pos % 16 + 2:], '') ELSE w.proof END,
+    CASE WHEN w.m > 1 THEN sha256(array_to_string(r.run[:w.pos % 16], '') || w.hash || array_to_string(r.run[w.pos % 16 + 2:], '')) ELSE w.hash END
+  FROM walk w LEFT JOIN runs r ON r.level = w.level AND r.tree = w.tree AND r.up = w.pos // 16 WHERE w.m > 1 OR w.tree >= 0)
+SELECT doc_id, leaf, sub.hash AS subroot, walked.root_hash AS root, sha256(w.proof) AS proof_sha256, w.hash AS folded_root, w.hash = walked.root_hash AS verified
+FROM walk w JOIN p USING (rid) JOIN sub ON sub.tree = p.tree, (SELECT hash AS root_hash FROM upper_nodes WHERE m = 1) walked WHERE w.m = 1 AND w.tree = -1"""
+
+SQL = {"op5_quality_rules": OP5, "op7_pareto_mix": OP7, "op10_url_filter": OP10, "op11_merkle_manifest": OP11}
