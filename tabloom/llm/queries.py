@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, gam, html_text, imatch, langid, merkle, mixing, rules, simhash, token_scan, url_filter, whitening
+from tabloom.llm import bpe, gam, html_text, imatch, langid, merkle, mixing, multi_index, rules, simhash, token_scan, url_filter, whitening
 from tabloom.llm.blocks import read_documents
 from tabloom.llm.sql import SQL  # noqa: F401
 
@@ -80,3 +80,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
