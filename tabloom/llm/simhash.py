@@ -152,18 +152,24 @@ def sorted_links(nodes: DataFrame, ring: Ring, reach: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= ring.distance).distinct()
 
 
+def ring_pairs(known: DataFrame, ring: Ring) -> DataFrame:
+    """(fp_u, comp_u, fp_v, comp_v): close fingerprints of different components, each pair once or more; ``known`` has fp and comp."""
+    fp = F.col("fp")
+    index = known.select(F.col("fp").alias("fp_u"), F.col("comp").alias("comp_u"), F.explode(F.array(*[ring.key(fp, i) for i in range(ring.segments)])).alias("key"))
+    probes = [ring.key(fp, i, flip) for i in range(ring.segments) for flip in ring.flips(i)]
+    probe = known.select(F.col("fp").alias("fp_v"), F.col("comp").alias("comp_v"), F.explode(F.array(*probes)).alias("key"))
+    start = F.shiftrightunsigned(F.col("key"), 58).cast("int")
+    found = index.join(probe, "key").where((F.col("comp_u") < F.col("comp_v")) & ring.chain_holds(F.col("fp_u"), F.col("fp_v"), start))
+    return found.select("fp_u", "comp_u", "fp_v", "comp_v")
+
+
 def link_components(nodes: DataFrame, distance: int = 4, segments: int = 5) -> DataFrame:
     """(fp, component) for distinct fingerprints: components of the links at up to ``distance`` bits."""
     ring = Ring(distance, segments)
     near = connected_components(sorted_links(nodes, ring))
     known = nodes.join(near, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
     known = cut_lineage(known)
-    fp = F.col("fp")
-    index = known.select(F.col("fp").alias("a"), F.col("comp").alias("comp_a"), F.explode(F.array(*[ring.key(fp, i) for i in range(ring.segments)])).alias("key"))
-    probes = [ring.key(fp, i, flip) for i in range(ring.segments) for flip in ring.flips(i)]
-    probe = known.select(F.col("fp").alias("b"), F.col("comp").alias("comp_b"), F.explode(F.array(*probes)).alias("key"))
-    start = F.shiftrightunsigned(F.col("key"), 58).cast("int")
-    found = index.join(probe, "key").where((F.col("comp_a") < F.col("comp_b")) & ring.chain_holds(F.col("a"), F.col("b"), start))
+    found = ring_pairs(known, ring).select(F.col("comp_u").alias("comp_a"), F.col("comp_v").alias("comp_b"))
     merged = connected_components(found.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")))
     return known.join(merged, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("component", "comp").alias("component"))
 
@@ -177,10 +183,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4, segments: int = 5, shing
     named = comps.join(names, "component").select("fp", "component_id")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id names its component; of rows with equal ids one. Rows without an id stay."""
-    names = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
