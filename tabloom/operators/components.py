@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import cut_lineage
+from tabloom.session import cut_lineage, is_small
 
 
 def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, single_task_rows: int = 0) -> DataFrame:
     """(node, component = smallest node) for all nodes of the undirected edges (u, v) of bigints.
 
     Every round is two aggregates and two equi-joins on a table with one row per node, so a node
     with very many edges is handled by the skew join; rounds grow with the logarithm of the
-    diameter. Rounds are checkpointed.
+    diameter. Rounds are checkpointed. Up to ``single_task_rows`` edges are kept in one partition, which
+    spares a caller with many small rounds their shuffles.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut_lineage(edges)
+    few = single_task_rows > 0 and is_small(edges, single_task_rows)
+    edges = edges.coalesce(1) if few else edges
     state = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
@@ -30,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(small_low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
         loops = edges.where("u = v")
-        edges = cut_lineage(small.unionByName(loops).distinct())
+        edges = small.unionByName(loops)
+        edges = cut_lineage(edges.coalesce(1).distinct()).coalesce(1) if few else cut_lineage(edges.distinct())
         now = _state(edges)
         if now == state:
             break
