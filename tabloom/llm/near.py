@@ -11,7 +11,7 @@ copy. Links are only needed up to connected components, so every pass looks at p
    are joined by prefix filtering, which is exact: with shingles ordered by frequency, two similar sets share one of their
    n - ceil(0.8 n) + 1 rarest, and what lies behind the first shared one still has to hold the overlap. Copies
    that differ too much differ in their rarest shingles and make no pair, however many share a key. Shingles of few
-   sets come first; frequent ones link to one hub each before the pairs still open are formed.
+   sets come first; the sets of frequent ones meet in small random buckets before the pairs still open are formed.
 
 Nulls and empties: a null text is an empty one, and all empty ones are equal. Rows with a null id take part
 like others; an id that is not null is smaller. Ids may repeat. Rows and sets are named by 128 bits.
@@ -35,6 +35,8 @@ from tabloom.session import broadcast_if_small, cut_lineage
 BANDS, PER_BAND = 32, 6
 DISTANCE, SEGMENTS = 4, 5
 FEW = 16  # sets with a shingle up to which its pairs are formed at once
+BUCKET = 8
+SMALL = 200_000  # links up to which their components are found in one task
 MIX = np.uint64(0x9E37_79B9_7F4A_7C15)
 
 
@@ -128,6 +130,7 @@ def _needed(a: Column, b: Column, similarity: float) -> Column:
 def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough; each pair carries one set to the other."""
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs, sets = broadcast_if_small(cut_lineage(pairs)), sets.select("node", "shingles")
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     common = both.select("u", "v", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("common"))
     return cut_lineage(common.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("u", "v"))
@@ -137,9 +140,10 @@ def _join(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (node, comp, ...) with the components that ``links`` between nodes unite."""
     if links.isEmpty():  # stored before, so this reads one row
         return nodes
-    comp = nodes.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    ends = links.join(comp, F.col("u") == F.col("_n")).select("v", F.col("_c").alias("a")).join(comp, F.col("v") == F.col("_n")).select("a", F.col("_c").alias("b"))
-    found = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "_node")
+    links, comp = broadcast_if_small(links), nodes.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    ends = broadcast_if_small(cut_lineage(comp.join(links, F.col("u") == F.col("_n")).select("v", F.col("_c").alias("a"))))
+    ends = comp.join(ends, F.col("v") == F.col("_n")).select(F.col("a").alias("u"), F.col("_c").alias("v"))
+    found = broadcast_if_small(cut_lineage(connected_components(ends, single_task_rows=SMALL).withColumnRenamed("node", "_node")))
     joined = nodes.join(found, F.col("comp") == F.col("_node"), "left").withColumn("comp", F.coalesce("component", "comp"))
     return cut_lineage(joined.select(*nodes.columns))
 
@@ -190,11 +194,11 @@ def _token_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return big.join(small, "token").where(smaller & _may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
-def _hub_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of every member of a token with the smallest one."""
-    one = F.struct("node", "n", "pos", "comp")
-    hubs = entries.groupBy("token").agg(F.min(one).alias("b"))
-    return entries.select("token", one.alias("a")).join(hubs, "token").where(_may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+def _bucket_pairs(entries: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Pairs within random buckets of about ``BUCKET`` members of a token: linear in the members, yet a dense family comes together."""
+    sizes = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
+    dealt = entries.join(sizes, "token").withColumn("token", F.xxhash64("token", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts"))))
+    return _token_pairs(dealt.drop("parts"), similarity)
 
 
 def _simhash_pairs(comps: DataFrame, ring: simhash.Ring, first: bool) -> DataFrame:
@@ -235,9 +239,11 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> tu
 
     apart = _open(members.join(comps.select("node", "comp"), "node"), "key").select("node").distinct()
     entries = cut_lineage(prefixes(sets.join(apart, "node", "left_semi"), similarity))
-    for some, form in ((F.col("df") <= FEW, _token_pairs), (F.col("df") > FEW, _hub_pairs), (F.col("df") > FEW, _token_pairs)):
+    few, many = F.col("df") <= FEW, F.col("df") > FEW
+    for some, form in ((few, None), (many, 1), (many, 2), (many, None)):
         still = cut_lineage(_open(entries.where(some).join(comps.select("node", "comp"), "node"), "token"))
-        comps = _join(comps, _links(cut_lineage(form(still, similarity)), sets, similarity))
+        pairs = _token_pairs(still, similarity) if form is None else _bucket_pairs(still, similarity, form)
+        comps = _join(comps, _links(pairs, sets, similarity))
     return nodes.select("node", "s1", "s2", "first").join(comps.select("node", "comp"), "node"), signed
 
 
