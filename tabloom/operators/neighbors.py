@@ -1,10 +1,10 @@
 """Exact neighbours without forming pairs.
 
 Queries and base rows meet in blocks of bounded size, where numpy works on slices; only the reduced
-answer per query (k best rows, a count, a sum per cluster) leaves a task. Larger inputs are grouped
-around pivots first: by the triangle inequality a group of queries needs only the base rows whose
-distance to their pivot leaves them within reach, so far-away groups never meet. Groups are split
-by a hash of the id, so a heavy group becomes many even blocks. Nothing is approximated.
+answer per query (k best rows, a count, a sum per cluster) leaves a task. Larger inputs are dealt to the
+leaves of a pivot tree first: by the triangle inequality a query visits only the leaves that reach into its
+ball. For the k nearest, the ball shrinks from round to round: the closest leaf, a few more, then what is
+still in reach. Leaves are split by a hash of the id, so a heavy one becomes many even blocks. Nothing is approximated.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.session import cut_lineage
 
 BLOCK_ROWS = 20_000
-MAX_PIVOTS = 1_000
+FAN_OUT, LEAF_ROWS = 256, 500
+PIVOT_CELLS = 4_000_000  # numbers of all pivots together: 32 MB
+ROUNDS = (1, 4)  # leaves visited before the last round, closest first
 SLICE_CELLS = 4_000_000  # distance cells held at once inside a task
 
 
@@ -37,23 +40,24 @@ def _blocks(n: int, rows: int, floor: int = 1) -> int:
 
 def blockwise(
     queries: DataFrame, base: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    block_rows: int = BLOCK_ROWS, k: int | None = None, eps: float | None = None,
+    block_rows: int = BLOCK_ROWS, eps: float | None = None,
 ) -> DataFrame:
     """``work(query block, base block)`` for all blocks that may meet; both sides have a unique ``id``.
 
-    With ``k`` or ``eps`` and more base rows than one block holds, pivots rule out far-away groups;
-    otherwise every query block meets every base block.
+    With ``eps`` and more base rows than one block holds, a query visits only the leaves of a pivot tree that reach
+    into its ball; otherwise every query block meets every base block.
     """
     base = base.select(*[F.col(c).alias(c) for c in base.columns])  # both sides may stem from one table
     nq, nb = queries.count(), base.count()
-    if nb > block_rows and (k is not None or eps is not None):
-        q, b = _pivot_groups(queries, base, nb, block_rows, k, eps)
-    else:
-        cores = max(1, min(queries.sparkSession.sparkContext.defaultParallelism, nq // 256))
-        bq, bb = _blocks(nq, block_rows, cores), _blocks(nb, block_rows)
-        q = queries.withColumn("_q", _slice_of(F.lit(bq))).withColumn("_b", F.explode(_upto(F.lit(bb)))).withColumn("_c", F.lit(0))
-        b = base.withColumn("_b", _slice_of(F.lit(bb))).withColumn("_q", F.explode(_upto(F.lit(bq)))).withColumn("_c", F.lit(0))
-    return q.groupBy("_c", "_q", "_b").cogroup(b.groupBy("_c", "_q", "_b")).applyInPandas(work, schema)
+    if nb > block_rows and eps is not None:
+        tree, placed = plant(base, nb)
+        sent = _sent(queries.withColumn("_reach", F.lit(float(eps))).withColumn("_done", F.lit(0.0)), tree)
+        return _at_leaves(sent, placed, tree, work, schema, block_rows)
+    cores = max(1, min(queries.sparkSession.sparkContext.defaultParallelism, nq // 256))
+    bq, bb = _blocks(nq, block_rows, cores), _blocks(nb, block_rows)
+    q = queries.withColumn("_q", _slice_of(F.lit(bq))).withColumn("_b", F.explode(_upto(F.lit(bb))))
+    b = base.withColumn("_b", _slice_of(F.lit(bb))).withColumn("_q", F.explode(_upto(F.lit(bq))))
+    return q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(work, schema)
 
 
 def _slice_of(parts):
@@ -64,58 +68,136 @@ def _upto(parts):
     return F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)
 
 
-def _at_pivots(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the closest pivot ``_p`` and the distance to it ``_r``; the pivots are at most MAX_PIVOTS rows."""
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+class PivotTree:
+    """Two levels of pivots over the base rows, with the radius and the row count of every node.
+
+    At most ``FAN_OUT`` pivots stand at the top, each with at most ``FAN_OUT`` leaves below; all pivots together hold at most
+    ``PIVOT_CELLS`` numbers, which is what travels to the tasks. Pivots are means of a sample; radii and counts are those of
+    all rows, so a node is ruled out only where the triangle inequality says so.
+    """
 
-    schema = StructType([*df.schema.fields]).add("_p", IntegerType()).add("_r", DoubleType())
+    def __init__(self, tops: np.ndarray, leaves: list[np.ndarray]):
+        self.tops, self.leaves = tops, np.vstack(leaves)
+        self.first = np.cumsum([0] + [len(x) for x in leaves])
+        self.top_radius = np.zeros(len(tops))
+        self.radius, self.rows = np.zeros(len(self.leaves)), np.zeros(len(self.leaves), np.int64)
+
+    @staticmethod
+    def wanted(nb: int, dims: int) -> int:
+        return max(1, min(nb // LEAF_ROWS, FAN_OUT * FAN_OUT, PIVOT_CELLS // max(1, dims)))
+
+    @classmethod
+    def of(cls, sample: np.ndarray, count: int) -> PivotTree:
+        tops = _means(sample, min(FAN_OUT, max(1, round(count**0.5))))
+        owner = _distances(sample, tops).argmin(axis=1)
+        parts = [sample[owner == t] if (owner == t).any() else tops[t:t + 1] for t in range(len(tops))]
+        share = [min(FAN_OUT, max(1, round(count * len(x) / len(sample)))) for x in parts]
+        return cls(tops, [_means(x, min(n, len(x))) for x, n in zip(parts, share)])
+
+    def place(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, distance to it, distance to the top pivot) per row."""
+        top = _distances(m, self.tops).argmin(axis=1)
+        leaf = np.empty(len(m), np.int64)
+        for t in np.unique(top).tolist():
+            rows = np.flatnonzero(top == t)
+            leaf[rows] = self.first[t] + _distances(m[rows], self.leaves[self.first[t]:self.first[t + 1]]).argmin(axis=1)
+        exact = lambda p: np.sqrt(((m - p) ** 2).sum(axis=1))
+        return leaf, exact(self.leaves[leaf]), exact(self.tops[top])
+
+    def visits(self, m: np.ndarray, reach: np.ndarray, k: int | None, done: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(leaves, distances) in rising distance per row: all that may hold a row within ``reach``; with ``k``, of the k nearest.
+
+        Leaves at less than ``done`` were visited before. One at that very distance may come again.
+        """
+        at, near, away = [], [], []
+        slack = 1e-7 * (np.abs(m).max(initial=0) + np.abs(self.leaves).max(initial=0) + 1) * max(1, m.shape[1]) ** 0.5
+        if k is not None:
+            upper = _distances(m, self.leaves[self.rows > 0]) + self.radius[self.rows > 0] + slack  # each leaf holds all its rows within this
+            order = np.argsort(upper, axis=1)
+            enough = (np.cumsum(self.rows[self.rows > 0][order], axis=1) >= k).argmax(axis=1) if upper.size else None
+            if upper.size and self.rows.sum() >= k:
+                reach = np.minimum(reach, upper[np.arange(len(m)), order[np.arange(len(m)), enough]])
+        top = _distances(m, self.tops) - self.top_radius <= (reach + slack)[:, None]
+        for t in range(len(self.tops)):
+            rows, own = np.flatnonzero(top[:, t]), np.arange(self.first[t], self.first[t + 1])
+            own = own[self.rows[own] > 0]
+            d = _distances(m[rows], self.leaves[own])
+            i, j = np.nonzero((d - self.radius[own] <= (reach[rows] + slack)[:, None]) & (d >= (done[rows] - slack)[:, None]))
+            at.append(rows[i])
+            near.append(own[j])
+            away.append(d[i, j])
+        at, near, away = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, near, away))
+        order = np.lexsort((near, away, at))
+        cuts = np.searchsorted(at[order], np.arange(1, len(m)))
+        return list(zip(np.split(near[order], cuts), np.split(away[order], cuts)))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances up to rounding; bounds made of them keep a slack."""
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1), 0))
+
+
+def _means(points: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
+    words = points[np.random.default_rng(42).choice(len(points), k, replace=False)]
+    for _ in range(rounds):
+        near = _distances(points, words).argmin(axis=1)
+        counts, sums = np.bincount(near, minlength=k), np.zeros_like(words)
+        np.add.at(sums, near, points)
+        words = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], words)
+    return words
+
+
+def plant(base: DataFrame, nb: int) -> tuple[PivotTree, DataFrame]:
+    """The tree over ``base`` and ``base`` with its leaf ``_c``, stored."""
+    spark = base.sparkSession
+    dims = base.select(F.size("v")).first()[0]
+    count = PivotTree.wanted(nb, dims)
+    size = min(nb, 8 * count + FAN_OUT, 4 * PIVOT_CELLS // max(1, dims))
+    rows = base.select("v").orderBy(F.xxhash64("id"), "id").limit(size).collect()  # bounded by PIVOT_CELLS numbers
+    tree = PivotTree.of(np.array([r["v"] for r in rows], dtype=np.float64), count)
+    shared = spark.sparkContext.broadcast(tree)
+    schema = T.StructType([*base.schema.fields]).add("_c", T.IntegerType()).add("_r", T.DoubleType()).add("_t", T.DoubleType())
 
     def assign(batches):
         for batch in batches:
-            m, near, dist = _matrix(batch["v"]), [], []
-            for _, d in distance_slices(m, pivots):
-                best = d.argmin(axis=1)
-                near.append(best)
-                dist.append(d[np.arange(len(d)), best])
-            if near:
-                yield batch.assign(_p=np.concatenate(near).astype("int32"), _r=np.concatenate(dist))
-
-    return df.mapInPandas(assign, schema)
-
-
-def _pivot_groups(queries: DataFrame, base: DataFrame, nb: int, block_rows: int, k: int | None, eps: float | None) -> tuple[DataFrame, DataFrame]:
-    spark = queries.sparkSession
-    wanted = min(MAX_PIVOTS, 2 * _blocks(nb, block_rows))
-    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # MAX_PIVOTS rows at most
-    pivots = np.array([r["v"] for r in rows], dtype=np.float64)
-    q, b = cut_lineage(_at_pivots(queries, pivots)), cut_lineage(_at_pivots(base, pivots))
-    gap = np.vstack([d for _, d in distance_slices(pivots, pivots)])
-    q_stats = {r["_p"]: (r["n"], r["far"]) for r in q.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("far")).collect()}
-    b_stats = {r["_p"]: (r["n"], r["far"]) for r in b.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("far")).collect()}
-    reach = {}
-    if eps is not None:
-        reach = dict.fromkeys(q_stats, eps)
-    else:
-        w = Window.partitionBy("_p").orderBy("_r")
-        close = b.select("_p", "_r").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= k).collect()  # pivots x k numbers
-        owner, dist = np.array([r["_p"] for r in close]), np.array([r["_r"] for r in close])
-        for p, (_, far) in q_stats.items():
-            upper = gap[p, owner] + dist
-            reach[p] = far + (np.partition(upper, k - 1)[k - 1] if len(upper) >= k else np.inf)
-    pairs, sizes = [], []
-    for p, (n, far) in q_stats.items():
-        limit = (reach[p] + far) * (1 + 1e-9) + 1e-12  # a base row of pivot j matters when gap - r_b <= far + reach
-        hit = [j for j in b_stats if gap[p, j] - b_stats[j][1] <= limit]
-        parts = _blocks(sum(b_stats[j][0] for j in hit), block_rows)
-        sizes.append((int(p), _blocks(n, block_rows), parts))
-        pairs += [(int(p), int(j), float(gap[p, j]), float(limit), _blocks(n, block_rows), parts) for j in hit]
-    plan = spark.createDataFrame(sizes, "_p int, _nq int, _nb int")
-    meet = spark.createDataFrame(pairs, "_c int, _p int, _gap double, _limit double, _nq int, _nb int")
-    q = q.join(F.broadcast(plan), "_p").withColumn("_q", _slice_of(F.col("_nq"))).withColumn("_b", F.explode(_upto(F.col("_nb"))))
-    q = q.withColumn("_c", F.col("_p")).select(*queries.columns, "_c", "_q", "_b")
-    b = b.join(meet, "_p").where((F.col("_gap") - F.col("_r") <= F.col("_limit")) & (F.col("_r") - F.col("_gap") <= F.col("_limit")))
-    b = b.withColumn("_b", _slice_of(F.col("_nb"))).withColumn("_q", F.explode(_upto(F.col("_nq")))).select(*base.columns, "_c", "_q", "_b")
-    return q, b
+            if len(batch):
+                leaf, r, t = shared.value.place(_matrix(batch["v"]))
+                yield batch.assign(_c=leaf.astype("int32"), _r=r, _t=t)
+
+    placed = cut_lineage(base.mapInPandas(assign, schema))
+    for r in placed.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("r"), F.max("_t").alias("t")).collect():  # a row per leaf
+        tree.rows[r["_c"]], tree.radius[r["_c"]] = r["n"], r["r"]
+        top = int(np.searchsorted(tree.first, r["_c"], side="right")) - 1
+        tree.top_radius[top] = max(tree.top_radius[top], r["t"])
+    return tree, placed.drop("_r", "_t")
+
+
+def _sent(queries: DataFrame, tree: PivotTree, k: int | None = None, count: int | None = None) -> DataFrame:
+    """``queries`` (.., _reach, _done) with the leaves ``_cs`` to visit now, at most ``count``; ``_done`` is infinite if none is left. Stored."""
+    shared = queries.sparkSession.sparkContext.broadcast(tree)
+    schema = T.StructType([*queries.schema.fields]).add("_cs", T.ArrayType(T.IntegerType()))
+
+    def send(batches):
+        for batch in batches:
+            for s in range(0, len(batch), 1_000):
+                part = batch.iloc[s:s + 1_000]
+                found = shared.value.visits(_matrix(part["v"]), *(part["_reach"].to_numpy(np.float64), k, part["_done"].to_numpy(np.float64)))
+                last = [float(d[count - 1]) if count is not None and len(d) > count else np.inf for _, d in found]
+                yield part.assign(_cs=[leaves[:count].astype("int32") for leaves, _ in found], _done=last)
+
+    return cut_lineage(queries.mapInPandas(send, schema))
+
+
+def _at_leaves(sent: DataFrame, placed: DataFrame, tree: PivotTree, work, schema: str, block_rows: int) -> DataFrame:
+    """``work`` of every leaf's visitors and rows, both in slices of bounded size."""
+    sent = sent.withColumn("_c", F.explode("_cs")).drop("_cs", "_reach", "_done")
+    calls = {r["_c"]: r["n"] for r in sent.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per leaf
+    plan = [(c, _blocks(n, block_rows), _blocks(int(tree.rows[c]), block_rows)) for c, n in calls.items()]
+    plan = F.broadcast(sent.sparkSession.createDataFrame(plan, "_c int, _nq int, _nb int"))
+    q = sent.join(plan, "_c").withColumn("_q", _slice_of(F.col("_nq"))).withColumn("_b", F.explode(_upto(F.col("_nb")))).drop("_nq", "_nb")
+    b = placed.select(*[F.col(c).alias(c) for c in placed.columns]).join(plan, "_c")
+    b = b.withColumn("_b", _slice_of(F.col("_nb"))).withColumn("_q", F.explode(_upto(F.col("_nq")))).drop("_nq", "_nb")
+    return q.groupBy("_c", "_q", "_b").cogroup(b.groupBy("_c", "_q", "_b")).applyInPandas(work, schema)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -151,9 +233,23 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 1, exclude_self: bool
         found = pd.concat(out)
         return found[found["id"] != found["neighbour"]] if exclude_self else found
 
-    hits = blockwise(queries, base, work, schema, block_rows, k=k + (1 if exclude_self else 0))
     w = Window.partitionBy("id").orderBy("distance", "neighbour")  # k rows per block that met the query
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    best = lambda hits: hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    base = base.select(*[F.col(c).alias(c) for c in base.columns])
+    nb = base.count()
+    if nb <= block_rows:
+        return best(blockwise(queries, base, work, schema, block_rows))
+    tree, placed = plant(base, nb)
+    count = k + (1 if exclude_self else 0)
+    hits, sent = None, queries.withColumn("_reach", F.lit(float("inf"))).withColumn("_done", F.lit(0.0))
+    for visits in (*ROUNDS, None):  # the k-th distance so far rules out leaves before the next ones are visited
+        sent = _sent(sent, tree, count, visits)
+        found = _at_leaves(sent, placed, tree, work, schema, block_rows)
+        hits = cut_lineage(best(found if hits is None else found.unionByName(hits.drop("rank")).dropDuplicates(["id", "neighbour"])))
+        known = hits.where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("distance").alias("_far"))
+        sent = sent.drop("_cs").where(F.col("_done") < float("inf")).join(known, F.col("id") == F.col("_id"), "left")
+        sent = sent.withColumn("_reach", F.coalesce("_far", "_reach")).drop("_id", "_far")
+    return hits
 
 
 def assign_nearest(new: DataFrame, train: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def test_lloyd_matches_numpy(spark):
 
 
 @pytest.mark.parametrize("block_rows", [25, 60])
-def test_pivots_keep_all_neighbours(spark, block_rows):
+def test_pivots_keep_all_neighbours(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 12)
     rng = np.random.default_rng(10)
     pts = np.vstack([rng.integers(-6, 6, (120, 4)) + c for c in (0, 40, 90)] + [np.full((60, 4), 40)]).astype(float)
     df = points_df(spark, pts, np.arange(len(pts)))
@@ -139,9 +140,50 @@ def test_pivots_keep_all_neighbours(spark, block_rows):
     assert [least[i] for i in range(len(pts))] == [int(np.nonzero(d[i] <= 5.0)[0].min()) for i in range(len(pts))]
 
 
-def test_pivots_rule_out_far_groups(spark):
+def test_pivots_rule_out_far_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
     rng = np.random.default_rng(12)
     pts = np.vstack([rng.normal(c, 1, (100, 3)) for c in (0, 500, 1000, 1500)])
     df = points_df(spark, pts)
-    q, b = neighbors._pivot_groups(df, df.select("id", "v", "payload"), 400, 50, 3, None)
-    assert b.count() < 400 * 8
+    tree, placed = neighbors.plant(df, 400)
+    m = np.array(pts)
+    far = np.full(400, np.inf)
+    visits = tree.visits(m, far, 3, np.zeros(400))
+    assert tree.rows.sum() == 400 == placed.count()
+    assert sum(int(tree.rows[leaves].sum()) for leaves, _ in visits) <= 400 * 100
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_tree_in_many_dimensions(spark, monkeypatch, exclude):
+    """Rounds over a tree of two levels give the exact neighbours, ties by id, in 24 dimensions and with copies."""
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(12, 24)) * 4
+    pts = np.vstack([rng.normal(c, 0.3, (50, 24)) for c in centres] + [np.repeat(centres[:1], 30, axis=0), rng.normal(size=(40, 24)) * 5])
+    pts = pts[rng.permutation(len(pts))]
+    df = points_df(spark, pts)
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    got = {}
+    for r in sorted(neighbors.nearest(df, df, 4, exclude_self=exclude, block_rows=60).collect(), key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append((r["neighbour"], r["distance"]))
+    for i in range(len(pts)):
+        want = sorted((j for j in range(len(pts)) if not (exclude and i == j)), key=lambda j: (d[i, j], j))[:4]
+        assert [n for n, _ in got[i]] == want and [x for _, x in got[i]] == pytest.approx(d[i, want])
+
+
+def test_rows_moved_grow_slowly(monkeypatch):
+    """Rows compared per query in clustered 64-dimensional data: 16 times the rows, a small factor more."""
+    rng, per_query = np.random.default_rng(14), []
+    centres = rng.normal(size=(400, 64)) * 2
+    for n in (5_000, 80_000):
+        pts = centres[rng.integers(0, 400, n)] + 0.2 * rng.normal(size=(n, 64))
+        tree = neighbors.PivotTree.of(pts[:4_000], neighbors.PivotTree.wanted(n, 64) * 4)
+        leaf, r, top = tree.place(pts)
+        tree.rows = np.bincount(leaf, minlength=len(tree.leaves))
+        np.maximum.at(tree.radius, leaf, r)
+        np.maximum.at(tree.top_radius, np.searchsorted(tree.first, leaf, side="right") - 1, top)
+        q = pts[:200]
+        near = [np.sort(np.sqrt(((pts[leaf == tree.visits(x[None], np.full(1, np.inf), 5, np.zeros(1))[0][0][0]] - x) ** 2).sum(axis=1)))[:5] for x in q]
+        reach = np.array([x[-1] if len(x) == 5 else np.inf for x in near])
+        per_query.append(np.mean([tree.rows[leaves].sum() for leaves, _ in tree.visits(q, reach, 5, np.zeros(len(q)))]))
+    assert per_query[1] < 8 * per_query[0], per_query
