@@ -110,7 +110,7 @@ def lloyd(spark, d):
 
 @query("k2_elbow_curve")
 def elbow(spark, d):
-    return cluster.elbow_curve(vectors(spark, d), "id", "v", range(2, 6), n_init=1)
+    return cluster.elbow_curve(vectors(spark, d), "id", "v")
 
 
 SIL = f"""p AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum({DIST.format('a.embedding', 'b.embedding')}) AS s FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
@@ -214,7 +214,7 @@ def means(spark, d):
 @query("k10_auto_k_means")
 def auto_k_means(spark, d):
     p = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("nation"))
-    return cluster.auto_cluster(p, "s_suppkey", ["s_acctbal", "nation"], ks=range(2, 5), n_init=1)["labels"]
+    return cluster.auto_cluster(p, "s_suppkey", ["s_acctbal", "nation"])["labels"]
 
 
 @query("k10_auto_dbscan")

@@ -79,11 +79,11 @@ def replay_cap(spark, d):
     return fitted.transform(new).withColumn("account_amount", F.round("account_amount", 6))
 
 
-@query("x6_rebuild_text_features", f"""WITH {VOCAB.replace('LIMIT 500', 'LIMIT 8')}, nt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM benchmark) GROUP BY 1, 2)
+@query("x6_rebuild_text_features", f"""WITH {VOCAB.replace('LIMIT 10000', 'LIMIT 500')}, nt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM benchmark) GROUP BY 1, 2)
 SELECT item_id, term, coalesce(tf, 0)::DOUBLE AS weight FROM (SELECT item_id, term FROM benchmark, voc) LEFT JOIN nt USING (item_id, term)""")
 def rebuild_text(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    fitted = text.fit_vectorizer(docs, "count", max_features=8)
+    fitted = text.fit_vectorizer(docs, "count", max_features=500)
     wide = fusion.wide_terms(fitted.transform(items, "item_id"), fitted.vocabulary, items, "item_id", "text__")
     terms = [c for c in wide.columns if c != "item_id"]
     return wide.unpivot(["item_id"], terms, "term", "weight").withColumn("term", F.substring("term", 7, 1000))
@@ -108,7 +108,7 @@ def run_training(spark, d):
 def run_log(spark, d):
     s, v = session(spark, d)
     s.train(v, "text__blanks", "regression", ["text__chars", "struct__score"])
-    s.train(v, None, "clustering", ["text__chars", "struct__score"], ks=range(2, 4), n_init=1)
+    s.train(v, None, "clustering", ["text__chars", "struct__score"])
     return s.runs().select("run", "version", "task_type", "target", "metric_name")
 
 

@@ -117,9 +117,14 @@ def orders_features(spark, d):
     return table(spark, d, "orders").join(li, "o_orderkey").select("o_orderkey", "o_totalprice", "o_orderstatus", "price", "quantity", "discount", "items")
 
 
-@query("g7_cross_validation")
+@query("g7_cross_validation", f"""WITH f AS (SELECT l_orderkey, sum(l_extendedprice)::DOUBLE AS y, sum(l_quantity)::DOUBLE AS q, count(*)::DOUBLE AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+k AS (SELECT *, ((row_number() OVER (ORDER BY {hashed('l_orderkey')}, l_orderkey) - 1) % 3)::INT AS fold FROM f), n AS (SELECT unnest(range(3))::INT AS fold),
+s AS (SELECT n.fold, covar_pop(q, q) AS qq, covar_pop(i, i) AS ii, covar_pop(q, i) AS qi, covar_pop(q, y) AS qy, covar_pop(i, y) AS iy, avg(q) AS mq, avg(i) AS mi, avg(y) AS my FROM k, n WHERE k.fold <> n.fold GROUP BY 1),
+w AS (SELECT *, (qy * ii - iy * qi) / (qq * ii - qi * qi) AS wq, (iy * qq - qy * qi) / (qq * ii - qi * qi) AS wi FROM s)
+SELECT fold, round(1 - sum((y - my - wq * (q - mq) - wi * (i - mi)) ** 2) / (var_pop(y) * count(*)), 8) AS r2, round(sqrt(avg((y - my - wq * (q - mq) - wi * (i - mi)) ** 2)), 4) AS rmse FROM k JOIN w USING (fold) GROUP BY fold""")
 def cross_validation(spark, d):
-    return models.cross_validate_regression(orders_features(spark, d), "o_orderkey", ["quantity", "items"], "price", k=3)
+    scores = models.cross_validate_regression(orders_features(spark, d), "o_orderkey", ["quantity", "items"], "price", k=3)
+    return scores.select("fold", F.round("r2", 8).alias("r2"), F.round("rmse", 4).alias("rmse"))
 
 
 @query("g8_coefficients", """WITH f AS (SELECT sum(l_extendedprice) AS price, sum(l_quantity) AS q, count(*)::DOUBLE AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey),

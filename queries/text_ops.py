@@ -139,22 +139,22 @@ def auto_text(spark, d):
 VOCAB = f"""tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
 voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf, row_number() OVER (ORDER BY term) - 1 AS i FROM
-(SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500))"""
+(SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10000))"""
 
 
 @query("n18_count_vectors", f"WITH {VOCAB} SELECT doc_id, i::INT AS index, term, tf::DOUBLE AS weight FROM tf JOIN voc USING (term)")
 def count_vectors(spark, d):
     c = corpus(spark, d)
-    return txt.fit_vectorizer(c, "count", max_features=500).transform(c)
+    return txt.fit_vectorizer(c, "count").transform(c)
 
 
 @query("n18_count_vectors_bigrams", f"""WITH t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOK} AS w FROM documents)),
 g AS (SELECT doc_id, t AS term FROM t UNION ALL SELECT doc_id, t || ' ' || lead(t) OVER (PARTITION BY doc_id ORDER BY i) FROM t),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY 1, 2),
-voc AS (SELECT term FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 300) SELECT doc_id, term, tf::DOUBLE AS weight FROM tf JOIN voc USING (term)""")
+voc AS (SELECT term FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000) SELECT doc_id, term, tf::DOUBLE AS weight FROM tf JOIN voc USING (term)""")
 def bigram_vectors(spark, d):
     c = corpus(spark, d)
-    return txt.fit_vectorizer(c, "count", (1, 2), 300).transform(c).drop("index")
+    return txt.fit_vectorizer(c, "count", (1, 2)).transform(c).drop("index")
 
 
 TFIDF = "SELECT doc_id, i::INT AS index, term, round((1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY doc_id)), 6) AS weight"
@@ -163,21 +163,21 @@ TFIDF = "SELECT doc_id, i::INT AS index, term, round((1 + ln(tf)) * idf / sqrt(s
 @query("n19_tfidf", f"WITH {VOCAB} {TFIDF} FROM tf JOIN voc USING (term)")
 def tfidf(spark, d):
     c = corpus(spark, d)
-    return txt.fit_vectorizer(c, "tfidf", max_features=500).transform(c).withColumn("weight", F.round("weight", 6))
+    return txt.fit_vectorizer(c, "tfidf").transform(c).withColumn("weight", F.round("weight", 6))
 
 
 @query("n20_transform_fitted", f"""WITH {VOCAB}, nt AS (SELECT item_id AS doc_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY 1, 2)
 {TFIDF} FROM nt JOIN voc USING (term)""")
 def transform_fitted(spark, d):
-    fitted = txt.fit_vectorizer(corpus(spark, d), "tfidf", max_features=500)
+    fitted = txt.fit_vectorizer(corpus(spark, d), "tfidf")
     return fitted.transform(table(spark, d, "benchmark"), "item_id").withColumn("weight", F.round("weight", 6))
 
 
 @query("n21_matrix_stats", f"""WITH {VOCAB}, m AS (SELECT term, tf FROM tf JOIN voc USING (term)), n AS (SELECT count(*) AS n FROM documents)
-SELECT term, round(sum(tf) / any_value(n), 6) AS mean_weight, (SELECT round((1 - count(*) / (any_value(n.n) * 500.0)) * 100, 6) FROM m, n) AS sparsity_pct FROM m, n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
+SELECT term, round(sum(tf) / any_value(n), 6) AS mean_weight, (SELECT round((1 - count(*) / (any_value(n.n) * (SELECT count(*) FROM voc))) * 100, 6) FROM m, n) AS sparsity_pct FROM m, n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""")
 def matrix_stats(spark, d):
     c = corpus(spark, d)
-    fitted = txt.fit_vectorizer(c, "count", max_features=500)
+    fitted = txt.fit_vectorizer(c, "count")
     sparsity, top = txt.matrix_stats(fitted.transform(c), c.count(), fitted.size)
     s = sparsity.first()[0]
     return top.select("term", F.round("mean_weight", 6).alias("mean_weight"), F.round(F.lit(s), 6).alias("sparsity_pct"))

@@ -1,17 +1,19 @@
-"""K-Means and friends: Spark ML fits, relational scores."""
+"""K-Means and friends: fits of many starts in shared scans, relational scores."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col
-from tabloom.operators import density
+from tabloom.operators import density, kmeans
 from tabloom.operators.clean import scale_for_clustering
 from tabloom.operators.neighbors import assign_nearest, kth_distance, silhouette_score, vectorised
 from tabloom.operators.quantiles import column_quantiles
@@ -31,25 +33,44 @@ def from_arrays(df: DataFrame, array: str, out: str = "features") -> DataFrame:
 
 @dataclass
 class KMeansFit:
-    model: object
+    """Centres, cost and mean squared Euclidean silhouette of the best start; ``features`` is the column it was fitted on."""
+
+    centers: np.ndarray
     inertia: float
+    silhouette: float = 0.0
+    features: str = "features"
 
     def centroids(self) -> list[list[float]]:
-        return [[float(x) for x in c] for c in self.model.clusterCenters()]
+        return [[float(x) for x in c] for c in self.centers]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        """``df`` with ``cluster``: the closest centre, the smallest index on ties."""
+        centers = self.centers
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            m, step = np.vstack(v), max(1, 4_000_000 // centers.size)
+            at = [((m[s:s + step, None, :] - centers) ** 2).sum(axis=2).argmin(axis=1) for s in range(0, len(m), step)]
+            return pd.Series(np.concatenate(at).astype("int32"))
+
+        return df.withColumn("cluster", nearest(_array(df, self.features)))
+
+
+def _array(df: DataFrame, features: str) -> Column:
+    """A feature column as an array of doubles; it may be one already."""
+    return vector_to_array(col(features)) if isinstance(df.schema[features].dataType, VectorUDT) else col(features).cast("array<double>")
+
+
+def k_means_all(df: DataFrame, ks, seed: int = 42, n_init: int = 10, max_iter: int = 300, features: str = "features", key: str | None = None) -> dict[int, KMeansFit]:
+    """Best of ``n_init`` starts for every k; all of them share the scans (see ``kmeans``)."""
+    v = _array(df, features)
+    data = cut_lineage(df.select((col(key) if key else F.xxhash64(v)).alias("id"), v.alias("v")))
+    return {k: KMeansFit(c, cost, s, features) for k, (c, cost, s) in kmeans.fit_all(data, list(ks), seed, n_init, max_iter).items()}
 
 
 def k_means(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, features: str = "features") -> KMeansFit:
-    """Best of ``n_init`` seeds by cost. Cache ``df`` before calling for several k."""
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=features, predictionCol="cluster").fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.inertia:
-            best = KMeansFit(model, cost)
-    return best
+    """Best of ``n_init`` starts by cost."""
+    return k_means_all(df, [k], seed, n_init, max_iter, features)[k]
 
 
 def _distance(v: Column, centroid: list[float]) -> Column:
@@ -79,21 +100,18 @@ def elbow_curve(df: DataFrame, key: str, vector: str, ks: range | None = None, s
     """(k, inertia, silhouette). The silhouette is Spark's squared Euclidean one, from sums per cluster;
     ``exact`` takes the Euclidean one, which compares all rows by blocks and so costs their square.
     """
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    data = from_arrays(df.select(col(key).alias("id"), col(vector).cast("array<double>").alias("v")), "v").persist()
-    n = data.count()
-    rows = []
-    for k in ks or range(2, min(11, n - 1) + 1):
-        fit = k_means(data, k, seed, n_init)
-        labelled = fit.transform(data)
-        if exact:
-            s = silhouette_score(labelled.select("id", "v", F.col("cluster").alias("payload"))).first()[0]
-        else:
-            s = ClusteringEvaluator(predictionCol="cluster").evaluate(labelled)
-        rows.append((int(k), float(fit.inertia), float(s)))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return _curve(df, key, vector, ks, seed, n_init, exact)[0]
+
+
+def _curve(df: DataFrame, key: str, vector: str, ks, seed: int, n_init: int, exact: bool) -> tuple[DataFrame, dict[int, KMeansFit]]:
+    data = cut_lineage(df.select(col(key).alias("id"), col(vector).cast("array<double>").alias("v")))
+    ks = list(ks or range(2, min(11, data.count() - 1) + 1))
+    fits = k_means_all(data, ks, seed, n_init, features="v", key="id") if ks else {}
+    score = {k: f.silhouette for k, f in fits.items()}
+    if exact:
+        score = {k: silhouette_score(f.transform(data).select("id", "v", F.col("cluster").alias("payload"))).first()[0] for k, f in fits.items()}
+    rows = [(int(k), f.inertia, float(score[k])) for k, f in fits.items()]
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), fits
 
 
 def decide_k(curve: DataFrame) -> dict:
@@ -136,9 +154,11 @@ def auto_cluster(df: DataFrame, key: str, cols: list[str], method: str = "kmeans
         labels = density.dbscan(scaled, key, cols, d["eps"], d["min_samples"])
         return {"labels": labels, "decision": d, "scaler": scaler, "centroids": None, "scaled": scaled}
     points = vectorised(scaled, cols, key)
-    d = decide_k(elbow_curve(points, "id", "v", ks, seed, n_init, exact))
-    data = cut_lineage(from_arrays(points, "v"))
-    fit = k_means(data, d["k"], seed, n_init)
+    curve, fits = _curve(points, "id", "v", ks, seed, n_init, exact)
+    d = decide_k(curve)
+    if d["k"] is None:
+        raise ValueError(d["description"])
+    data, fit = points, fits[d["k"]]
     labels = fit.transform(data).select(F.col("id").alias(key), "cluster")
     return {"labels": labels, "decision": d, "scaler": scaler, "centroids": fit.centroids(), "scaled": scaled}
 

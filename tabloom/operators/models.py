@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col, missing, present
-from tabloom.operators import metrics
+from tabloom.operators import metrics, moments
 from tabloom.operators.association import max_pairwise_correlation
 from tabloom.operators.neighbors import knn_vote, vectorised
 from tabloom.operators.split import complete_cases, decide_split, encode_target, k_fold, train_test_split
@@ -89,15 +89,10 @@ def coefficients(spark, fit: Fitted) -> DataFrame | None:
 
 def cross_validate_regression(df: DataFrame, key: str, features: list[str], target: str, choice: str = "linear", alpha: float = 1.0,
                               degree: int = 2, k: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, r2, rmse); summary statistics are an aggregate of it."""
-    data = k_fold(df, key, k, seed).persist()
-    rows = []
-    for i in range(k):
-        fit = fit_regression(data.where(F.col("fold") != i), features, target, choice, alpha, degree)
-        m = metrics.regression_metrics(fit.transform(data.where(F.col("fold") == i)), target).first()
-        rows.append((i, m["r2"], m["rmse"]))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fold int, r2 double, rmse double")
+    """(fold, r2, rmse) of all folds from one scan (see ``moments``); summary statistics are an aggregate of it."""
+    if choice not in REGRESSORS:
+        raise ValueError(choice)
+    return moments.cross_validate(k_fold(df, key, k, seed), features, target, choice, alpha, degree, k)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
