@@ -194,11 +194,12 @@ def _token_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return big.join(small, "token").where(smaller & _may_link("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
-def _bucket_pairs(entries: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Pairs within random buckets of about ``BUCKET`` members of a token: linear in the members, yet a dense family comes together."""
+def _bucket_pairs(entries: DataFrame, similarity: float, deals: int = 2) -> DataFrame:
+    """Pairs within random buckets of about ``BUCKET`` members of a token, dealt anew ``deals`` times: linear in the members, yet a dense family comes together."""
     sizes = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
-    dealt = entries.join(sizes, "token").withColumn("token", F.xxhash64("token", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts"))))
-    return _token_pairs(dealt.drop("parts"), similarity)
+    dealt = entries.join(sizes, "token").withColumn("deal", F.explode(F.array(*map(F.lit, range(deals)))))
+    dealt = dealt.withColumn("token", F.xxhash64("token", "deal", F.pmod(F.xxhash64("deal", "node"), F.col("parts"))))
+    return _token_pairs(dealt.drop("parts", "deal"), similarity)
 
 
 def _simhash_pairs(comps: DataFrame, ring: simhash.Ring, first: bool) -> DataFrame:
@@ -240,10 +241,9 @@ def components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> tu
     apart = _open(members.join(comps.select("node", "comp"), "node"), "key").select("node").distinct()
     entries = cut_lineage(prefixes(sets.join(apart, "node", "left_semi"), similarity))
     few, many = F.col("df") <= FEW, F.col("df") > FEW
-    for some, form in ((few, None), (many, 1), (many, 2), (many, None)):
+    for some, form in ((few, _token_pairs), (many, _bucket_pairs), (many, _token_pairs)):
         still = cut_lineage(_open(entries.where(some).join(comps.select("node", "comp"), "node"), "token"))
-        pairs = _token_pairs(still, similarity) if form is None else _bucket_pairs(still, similarity, form)
-        comps = _join(comps, _links(pairs, sets, similarity))
+        comps = _join(comps, _links(form(still, similarity), sets, similarity))
     return nodes.select("node", "s1", "s2", "first").join(comps.select("node", "comp"), "node"), signed
 
 
