@@ -74,9 +74,11 @@ def hu(spark, d):
     return image.hu_moments(pixels(spark, d))
 
 
-def grad_sql(side, centre):
-    """Neighbours by position in one list per image, with mirrored coordinates: another route than the windows."""
+def grad_sql(side, centre, replicate=False):
+    """Neighbours by position in one list per image, with mirrored (or clamped) coordinates: another route than the windows."""
     mirror = lambda c, k: f"CASE WHEN {c} + ({k}) < 0 THEN 1 WHEN {c} + ({k}) > 7 THEN 6 ELSE {c} + ({k}) END"
+    if replicate:
+        mirror = lambda c, k: f"greatest(0, least(7, {c} + ({k})))"
     at = lambda dx, dy: f"g[({mirror('y', dy)}) * 8 + ({mirror('x', dx)}) + 1]"
     gx = f"({side} * ({at(1, -1)} - {at(-1, -1)}) + {centre} * ({at(1, 0)} - {at(-1, 0)}) + {side} * ({at(1, 1)} - {at(-1, 1)}))::DOUBLE"
     gy = f"({side} * ({at(-1, 1)} - {at(-1, -1)}) + {centre} * ({at(0, 1)} - {at(0, -1)}) + {side} * ({at(1, 1)} - {at(1, -1)}))::DOUBLE"
@@ -89,6 +91,16 @@ def edge_ratio(spark, d):
     return image.gradient_edge_ratio(pixels(spark, d))
 
 
+@query("im7_canny_edge_ratio", f"""WITH RECURSIVE {grad_sql(1, 2, True)}, mg AS (SELECT *, abs(gx) + abs(gy) AS m, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN 'row' WHEN abs(gy) * 32768 > abs(gx) * 79109 THEN 'column' ELSE 'diagonal' END AS way FROM gr),
+st AS (SELECT *, CASE way WHEN 'row' THEN 1 WHEN 'column' THEN 0 ELSE CASE WHEN gx * gy < 0 THEN -1 ELSE 1 END END AS dx, CASE way WHEN 'row' THEN 0 ELSE 1 END AS dy FROM mg),
+cand AS (SELECT s.image_id, s.y, s.x, s.m FROM st s LEFT JOIN mg a ON a.image_id = s.image_id AND a.y = s.y - s.dy AND a.x = s.x - s.dx LEFT JOIN mg b ON b.image_id = s.image_id AND b.y = s.y + s.dy AND b.x = s.x + s.dx
+WHERE s.m > 100 AND s.m > coalesce(a.m, 0) AND CASE s.way WHEN 'diagonal' THEN s.m > coalesce(b.m, 0) ELSE s.m >= coalesce(b.m, 0) END),
+ed AS (SELECT image_id, y, x FROM cand WHERE m > 200 UNION SELECT c.image_id, c.y, c.x FROM ed JOIN cand c ON c.image_id = ed.image_id AND abs(c.y - ed.y) <= 1 AND abs(c.x - ed.x) <= 1)
+SELECT i.image_id, round(count(ed.x) / 64, 4) AS "Edge_Pixel_Ratio" FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN ed ON ed.image_id = i.image_id GROUP BY 1""")
+def canny_ratio(spark, d):
+    return image.canny_edge_ratio(pixels(spark, d))
+
+
 @query("im8_intensity_histogram", f'WITH {PX} SELECT image_id, channel, value, count(*) AS "count" FROM (' + " UNION ALL ".join(f"SELECT image_id, '{c}' AS channel, {c} AS value FROM px" for c in ("r", "g", "b", "gray")) + ") GROUP BY 1, 2, 3")
 def histogram(spark, d):
     return image.intensity_histogram(pixels(spark, d))
@@ -168,7 +180,7 @@ def regions(spark, d):
 
 
 @query("im16_feature_table", "SELECT * FROM " + " JOIN ".join(f"({SQL[n]})" + (" USING (image_id)" if i else "") for i, n in enumerate(
-    ("im2_channel_stats", "im3_gray_skewness", "im5_glcm", "im6_hu_moments", "im7_gradient_edge_ratio"))))
+    ("im2_channel_stats", "im3_gray_skewness", "im5_glcm", "im6_hu_moments", "im7_gradient_edge_ratio", "im7_canny_edge_ratio"))))
 def feature_table(spark, d):
     return image.feature_table(pixels(spark, d))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.session import cut_lineage
@@ -26,6 +26,7 @@ def pixel_table(images: DataFrame, image: str = "image", key: str = "image_id")
 
 
 GREY_LEVELS = 16
+TAN_22 = 13573  # fixed value: tangent of 22.5 degrees, times 32768; that of 67.5 degrees is larger by 2
 SOBEL, SCHARR = (1.0, 2.0), (3.0, 10.0)  # fixed values: side and centre weights of the 3 x 3 kernels
 
 
@@ -107,8 +108,8 @@ def hu_moments(pixels: DataFrame) -> DataFrame:
     return m.select("image_id", *[F.round(signed_log10(h), 4).alias(f"Hu_Moment_{k + 1}") for k, h in enumerate(hu)])
 
 
-def gradients(pixels: DataFrame, kernel: tuple[float, float] = SOBEL, name: str = "gray") -> DataFrame:
-    """(image_id, y, x, v, gx, gy, magnitude): 3 x 3 derivatives, borders mirrored without the edge row.
+def gradients(pixels: DataFrame, kernel: tuple[float, float] = SOBEL, name: str = "gray", replicate: bool = False) -> DataFrame:
+    """(image_id, y, x, v, gx, gy, magnitude): 3 x 3 derivatives, borders mirrored without the edge row (or replicated).
 
     Windows run over one row and then over one column of an image, so a large image spreads over tasks.
     """
@@ -119,7 +120,10 @@ def gradients(pixels: DataFrame, kernel: tuple[float, float] = SOBEL, name: str
 
     def around(c, w):
         before, after = F.lag(c).over(w), F.lead(c).over(w)
-        return F.coalesce(before, after, F.col(c).cast("double")), F.coalesce(after, before, F.col(c).cast("double"))
+        own = F.col(c).cast("double")
+        if replicate:
+            return F.coalesce(before, own), F.coalesce(after, own)
+        return F.coalesce(before, after, own), F.coalesce(after, before, own)
 
     src = src.withColumn("v", F.col("v").cast("double"))
     left, right = around("v", row)
@@ -134,10 +138,45 @@ def gradients(pixels: DataFrame, kernel: tuple[float, float] = SOBEL, name: str
 
 
 def gradient_edge_ratio(pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
-    """Share of pixels whose Sobel magnitude reaches the threshold (not a Canny edge map)."""
+    """Share of pixels whose Sobel magnitude reaches the threshold; ``canny_edge_ratio`` thins and connects them."""
     return gradients(pixels).groupBy("image_id").agg(F.round(F.avg((F.col("magnitude") >= threshold).cast("double")), 4).alias("gradient_edge_ratio"))
 
 
+def canny_edges(pixels: DataFrame, low: float = 100.0, high: float = 200.0) -> DataFrame:
+    """(image_id, y, x) of the Canny edges: |gx| + |gy| of replicated Sobel derivatives, largest across the edge.
+
+    Across is horizontal up to 22.5 degrees, vertical from 67.5, else diagonal; of two equal neighbours in a
+    row or column the first is taken, in a diagonal none. Pixels above ``low`` stay if eight-connected to
+    one above ``high``; what is outside the image counts as 0.
+    """
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    beside = lambda f, c, w: F.coalesce(f(c).over(w), F.lit(0.0))
+    m, wide, high_side = F.col("m"), F.abs("gx"), F.abs("gy") * 32768
+    work = gradients(pixels, replicate=True).withColumn("m", F.abs("gx") + F.abs("gy"))
+    work = work.withColumns({"_l": beside(F.lag, "m", row), "_r": beside(F.lead, "m", row)})
+    work = work.withColumns({f"_{way}{c}": beside(f, c, column) for way, f in (("u", F.lag), ("d", F.lead)) for c in ("m", "_l", "_r")})
+    falling = (F.col("gx") >= 0) == (F.col("gy") >= 0)
+    largest = (
+        F.when(high_side < wide * TAN_22, (m > F.col("_l")) & (m >= F.col("_r")))
+        .when(high_side > wide * (TAN_22 + 65536), (m > F.col("_um")) & (m >= F.col("_dm")))
+        .when(falling, (m > F.col("_u_l")) & (m > F.col("_d_r")))
+        .otherwise((m > F.col("_u_r")) & (m > F.col("_d_l")))
+    )
+    found = work.where((m > low) & largest).select("image_id", "y", "x", (m > high).cast("int").alias("strong"))
+    runs = _connected_runs(found, F.max("strong").alias("strong"))
+    sure = runs.groupBy("component").agg(F.max("strong").alias("_s")).where("_s = 1").select("component")
+    return runs.join(sure, "component", "left_semi").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def canny_edge_ratio(pixels: DataFrame, low: float = 100.0, high: float = 200.0) -> DataFrame:
+    """Share of Canny edge pixels, one row per image."""
+    size = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    edges = canny_edges(pixels, low, high).groupBy("image_id").agg(F.count(F.lit(1)).alias("_e"))
+    ratio = F.round(F.coalesce("_e", F.lit(0)) / F.col("_n"), 4)
+    return size.join(edges, "image_id", "left").select("image_id", ratio.alias("Edge_Pixel_Ratio"))
+
+
 def orientation_histogram(pixels: DataFrame, bins: int = 9) -> DataFrame:
     """(image_id, bin, weight): gradient directions over 0-360 degrees, weighted by magnitude."""
     angle = F.degrees(F.atan2("gy", "gx"))
@@ -223,30 +262,36 @@ def dominant_colours(pixels: DataFrame, k: int = 4, n_init: int = 5, seed: int =
     return counts.select("image_id", "colour", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("image_id"))).alias("share"))
 
 
-def object_regions(pixels: DataFrame, min_area: int = 30) -> DataFrame:
-    """Dark regions (inverse Otsu, 8-connected): pixel count, boundary pixels, circularity, bounding box.
+def _connected_runs(marked: DataFrame, *aggregates: Column) -> DataFrame:
+    """(image_id, y, x0, x1, ..., component) of runs of ``marked`` pixels, eight-connected.
 
-    Each image row is cut into runs of foreground pixels; runs of adjacent rows that touch are the
-    edges of a component search over all images at once.
+    Each image row is cut into runs; runs of adjacent rows that touch are the edges of a component
+    search over all images at once.
     """
     from tabloom.operators.components import connected_components
     from tabloom.operators.ranking import global_row_number
-    from tabloom.session import cut_lineage
 
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    runs = marked.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("image_id", "y", "_g").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), *aggregates).drop("_g")
+    runs = cut_lineage(global_row_number(runs, [F.col("image_id"), F.col("y"), F.col("x0")], "run"))
+    below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("v"))
+    touching = runs.join(below, ["image_id", "y"]).where("b0 <= x1 + 1 AND b1 >= x0 - 1").select(F.col("run").alias("u"), "v")
+    loops = runs.select(F.col("run").alias("u"), F.col("run").alias("v"))
+    comp = connected_components(touching.unionByName(loops), single_task_rows=200_000)
+    return runs.join(comp.select(F.col("node").alias("run"), "component"), "run").drop("run")
+
+
+def object_regions(pixels: DataFrame, min_area: int = 30) -> DataFrame:
+    """Dark regions (inverse Otsu, 8-connected): pixel count, boundary pixels, circularity, bounding box."""
     mask = binarize(pixels, None, inverted=True)
     row = Window.partitionBy("image_id", "y").orderBy("x")
     column = Window.partitionBy("image_id", "x").orderBy("y")
     sides = [F.lag("v").over(row), F.lead("v").over(row), F.lag("v").over(column), F.lead("v").over(column)]
     inner = sides[0] + sides[1] + sides[2] + sides[3] == 4 * 255
     fg = mask.withColumn("_edge", F.when(F.coalesce(inner, F.lit(False)), 0).otherwise(1)).where("v = 255")
-    runs = fg.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("image_id", "y", "_g").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"), F.sum("_edge").alias("boundary")).drop("_g")
-    runs = cut_lineage(global_row_number(runs, [F.col("image_id"), F.col("y"), F.col("x0")], "run"))
-    below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("v"))
-    touching = runs.join(below, ["image_id", "y"]).where("b0 <= x1 + 1 AND b1 >= x0 - 1").select(F.col("run").alias("u"), "v")
-    loops = runs.select(F.col("run").alias("u"), F.col("run").alias("v"))
-    comp = connected_components(touching.unionByName(loops))
-    regions = runs.join(comp.select(F.col("node").alias("run"), "component"), "run").groupBy("image_id", "component").agg(
+    runs = _connected_runs(fg, F.count(F.lit(1)).alias("n"), F.sum("_edge").alias("boundary"))
+    regions = runs.groupBy("image_id", "component").agg(
         F.sum("n").alias("area"), F.sum("boundary").alias("boundary_pixels"), F.min("x0").alias("x"), F.min("y").alias("y"),
         (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
     round_ness = F.round(F.lit(4 * 3.141592653589793) * F.col("area") / (F.col("boundary_pixels") * F.col("boundary_pixels")), 3)
@@ -255,7 +300,7 @@ def object_regions(pixels: DataFrame, min_area: int = 30) -> DataFrame:
 
 def feature_table(pixels: DataFrame) -> DataFrame:
     """All features, one row per image."""
-    parts = [basic_stats(pixels), glcm(pixels), hu_moments(pixels), gradient_edge_ratio(pixels)]
+    parts = [basic_stats(pixels), glcm(pixels), hu_moments(pixels), gradient_edge_ratio(pixels), canny_edge_ratio(pixels)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "image_id", "left")
