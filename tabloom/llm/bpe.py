@@ -36,6 +36,9 @@ NEWER_LETTERS = (
     "1c89-1c8a a7cb-a7ce a7d2 a7d4 a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e "
     "11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 16ea0-16eb8 18cff 1e5d0-1e5ed 1e5f0"
 )
+#: Capital letters (code points) that the tokenizer library lower-cases and Python does not yet, with their lower case.
+NEWER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Fixed value: how the tokenizer file splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -145,9 +148,13 @@ def load(path: str) -> Vocabulary:
         return Vocabulary(json.load(f))
 
 
+has_newer_capital = re.compile(f"[{''.join(map(chr, NEWER_CAPITALS))}]").search
+
+
 def lowered(text: str) -> str:
     """Lower case of each character by itself, so without the rule for a final sigma."""
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+    low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+    return low if text.isascii() or has_newer_capital(low) is None else low.translate(NEWER_CAPITALS)
 
 
 def splitter(low: int = 0, high: int = PLAIN) -> Callable[[str], list[str]]:
