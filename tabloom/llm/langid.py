@@ -195,7 +195,7 @@ def fit(train: DataFrame, path: str | None = None, sample: int = SAMPLE, rounds:
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0)), path)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0  # null and repeated ids spread by their texts
     share = F.lit(None).cast("double")
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(sample / sizes[lang])).otherwise(share)
