@@ -8,7 +8,7 @@ remaining gradients get tables of their own in the same way. A text's score is t
 of the sum of its table entries.
 
 Training takes at most about ``sample`` labelled rows (a documented bound; which ones follows from
-hashes of the ids) and whole texts. Scoring covers every row.
+hashes of the whole rows, repeated rows counting once) and whole texts. Scoring covers every row.
 
 Nulls and empties: a null text counts as empty and is scored like any other. Rows without a label, or
 whose id has no document, do not train. Without training rows, or with one label only, the score is
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.blocks import as_bytes, keep_rows, map_blocks, texts_of
 from tabloom.llm.textstats import Flat, repeated_windows, table_of
+from tabloom.session import cut_lineage
 
 SAMPLE = 20_000  # labelled rows to learn from
 BINS = 32
@@ -199,12 +200,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn ``labels`` (doc_id, quality) on ``docs``, without the documents that are held out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int"))
-    n = known.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = known.where(place < sample / max(n, 1))  # about ``sample`` rows, so small enough to send to every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    table = measured(rows).orderBy("doc_id", "quality", "x").toArrow()
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int")).distinct()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
+    # Repeats count once, and digests place rows, so no id can bring more than its share.
+    labelled = cut_lineage(rows.drop("text").distinct().join(known, "doc_id"))
+    place = F.pmod(F.xxhash64("doc_id", "d1", "d2", "quality"), F.lit(1_000_000)) / 1_000_000.0
+    chosen = cut_lineage(labelled.where(place < sample / max(labelled.count(), 1)))  # about ``sample`` rows, so small enough to send to every task
+    texts = rows.join(F.broadcast(chosen.select("doc_id", "d1", "d2").distinct()), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    table = measured(texts.join(F.broadcast(chosen), ["doc_id", "d1", "d2"])).orderBy("doc_id", "quality", "x").toArrow()
     x = np.array(table["x"].to_pylist(), dtype=float).reshape(len(table), len(FEATURES))
     return fit(x, (table["quality"].to_numpy() > 0).astype(float))
 
