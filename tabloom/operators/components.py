@@ -38,15 +38,16 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, single_task_rows: int = 0) -> DataFrame:
-    """(node, component = smallest node) for all nodes of the undirected edges (u, v) of bigints.
+    """(node, component = smallest node) for all nodes of the undirected edges (u, v) of any type that has an order.
 
     Every round is two aggregates and two equi-joins on a table with one row per node, so a node
     with very many edges is handled by the skew join; rounds grow with the logarithm of the
-    diameter. Rounds are checkpointed. Up to ``single_task_rows`` edges (their bound; 0: none) are united in
-    one task, which spares a caller with many small tables the rounds.
+    diameter. Rounds are checkpointed. Up to ``single_task_rows`` edges of whole numbers (their bound; 0: none) are
+    united in one task, which spares a caller with many small tables the rounds.
     """
-    edges = edges.select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v"))
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     if single_task_rows > 0:
+        edges = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
         edges = cut_lineage(edges)
         if is_small(edges, single_task_rows):
             return edges.coalesce(1).mapInArrow(_united, "node bigint, component bigint")

@@ -39,3 +39,9 @@ def test_one_task_equals_rounds(spark, limit):
     got = connected_components(spark.createDataFrame(edges, "u bigint, v bigint"), single_task_rows=limit).collect()
     assert {x.node: x.component for x in got} == plain(edges) and len(got) == len(plain(edges))
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint"), single_task_rows=limit).count() == 0
+
+
+def test_nodes_of_text(spark):
+    edges = [("b.org/x", "a.org"), ("c.net", "b.org/x"), ("z", "y"), ("é", "z")]
+    got = connected_components(spark.createDataFrame(edges, "u string, v string")).collect()
+    assert {x.node: x.component for x in got} == plain(edges)
