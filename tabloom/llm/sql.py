@@ -83,10 +83,10 @@ tags AS (SELECT node, host, path, scheme, unnest(regexp_extract_all(coalesce(htm
 links AS (SELECT node, host, path, scheme, {_attribute("tag", "href")} AS link FROM tags WHERE regexp_matches(lower({_attribute("tag", "rel")}), '(?:^|\s)canonical(?:\s|$)')
   UNION ALL SELECT node, host, path, scheme, regexp_extract({_attribute("tag", "content")}, '(?i)url\s*=\s*[''"]?([^''"]*)', 1) FROM tags WHERE lower({_attribute("tag", "http-equiv")}) = 'refresh'),
 whole AS (SELECT node AS u, {_RESOLVED} AS target FROM (SELECT * REPLACE (trim(replace(link, '&amp;', '&')) AS link) FROM links)),
-e AS (SELECT u, {_node("target")} AS v FROM whole),
+e AS (SELECT u, target, {_node("target")} AS v FROM whole),
 both_ways AS (SELECT u, v FROM e WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
 spoken AS (SELECT node, said FROM b WHERE node IS NOT NULL AND said IS NOT NULL
-  UNION SELECT v, {_rule(_host("('//://' || v)"), _path("('//://' || v)"), url_filter.RULES, 1)} FROM e WHERE v IS NOT NULL),
+  UNION SELECT v, {_rule(f"regexp_replace({_host('target')}, ':(?:80|443)$', '')", _path("target"), url_filter.RULES, 1)} FROM e WHERE v IS NOT NULL),
 reach(node, other) AS (SELECT node, node FROM b WHERE node IS NOT NULL UNION SELECT r.node, w.v FROM reach r JOIN both_ways w ON w.u = r.other),
 heard AS (SELECT r.node, bool_or(said = 'block') AS blocks, bool_or(said = 'allow') AS allows FROM reach r JOIN spoken s ON s.node = r.other WHERE said IS NOT NULL GROUP BY r.node)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN blocks AND NOT allows THEN 'block' ELSE 'allow' END) AS verdict FROM b LEFT JOIN heard USING (node)"""

@@ -51,8 +51,13 @@ def test_url_sql_follows_links(spark):
     from tabloom.llm import url_filter
     from tests.llm.test_corpus import PAGES
 
-    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    # Targets that end where a rule's path does, with a default port, and of nobody's rule.
+    ends = ["https://shop.com/de/", "https://shop.com:443/de/", "https://x.org/", "https://a.example.org/es/", "https://b.example.org/es", "https://free.net/"]
+    more = [(900 + i, f"https://alias{i}.net/p", f'<link rel="canonical" href="{u}">') for i, u in enumerate(ends)]
+    pages = spark.createDataFrame(PAGES + more, "page_id bigint, url string, html string")
     con = duckdb.connect()
     con.register("pages", pages.toPandas())
     problem, _ = compare(url_filter.judge(pages), SQL["op10_url_filter"], con)
     assert problem is None, problem
+    said = {r.page_id: r.verdict for r in url_filter.judge(pages).where("page_id >= 900").collect()}
+    assert said == {900: "block", 901: "block", 902: "allow", 903: "block", 904: "allow", 905: "allow"}
