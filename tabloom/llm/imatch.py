@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,7 @@ DENSITIES = (4, 6, 8, 10)  # a subset holds one in 2**d terms
 NONE = 42  # hash of no terms
 ROWS_PER_STRETCH = 2_000  # documents that are put in order in one go
 MOST_STRETCHES = 1 << 16  # beyond, stretches grow
+LEAST_ID = -(1 << 63)
 FEW = 4  # subsets that must be met in a density before its share counts
 
 
@@ -125,11 +127,22 @@ def fingerprint(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return with_hashes(docs, "text", lexicon(docs, band), "fingerprint").withColumn("fingerprint", as_string(F.col("fingerprint")))
 
 
-def _cuts(docs: DataFrame, pieces: int) -> list[int]:
-    """At most ``pieces`` - 1 ids that cut the documents into stretches of about equal size."""
+def _cuts(docs: DataFrame, pieces: int) -> tuple[list[int], dict[int, int]]:
+    """At most 2 * ``pieces`` ids that cut the documents into stretches of about equal size, and the pieces of crowded stretches.
+
+    An id with several of these sizes of its own, and the ids that are null, are crowded: such an id gets a stretch for itself,
+    which is cut further by digest.
+    """
     shares = [i / pieces for i in range(1, pieces)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
-    return sorted(set(found or []))
+    nulls = F.count_if(F.col("doc_id").isNull())
+    row = docs.agg(F.percentile_approx("doc_id", shares, 10_000) if shares else F.lit(None), nulls, F.count(F.lit(1))).first()
+    found = row[0] or []
+    repeats = {c: n for c, n in Counter(found).items() if n > 1}
+    # The stretch of a cut holds the ids above the cut before it.
+    cuts = sorted({*found, *[c - 1 for c in repeats if c > LEAST_ID]})
+    crowded = {len(cuts) - cuts.index(c): n + 1 for c, n in repeats.items()}
+    crowded[len(cuts) + 1] = math.ceil(row[1] * pieces / max(row[2], 1))
+    return cuts, {k: n for k, n in crowded.items() if n > 1}
 
 
 def stretch_of(doc_id: Column, cuts: list[int]) -> Column:
@@ -153,12 +166,19 @@ def with_next(rows: DataFrame, carried: list[str], pieces: int | None = None) ->
     """
     if pieces is None:
         pieces = min(rows.count() // ROWS_PER_STRETCH + 1, MOST_STRETCHES)
-    at = stretch_of(F.col("doc_id"), _cuts(rows, pieces))
-    rank = F.struct(F.negative("doc_id").alias("n"), "digest")
+    cuts, crowded = _cuts(rows, pieces)
+    at = stretch_of(F.col("doc_id"), cuts)
+    part = F.lit(0).cast("bigint")
+    if crowded:
+        parts = F.get(F.from_json(F.lit(json.dumps([crowded.get(i, 1) for i in range(len(cuts) + 2)])), "array<int>"), at)
+        low, high = F.lit(float(LEAST_ID)), F.lit(-float(LEAST_ID))
+        part = F.width_bucket(F.col("digest").cast("double"), low, high, parts)  # digests ascend from part to part
+    at = F.struct(at.alias("s"), part.alias("p"))
+    rank = F.struct(F.bitwise_not("doc_id").alias("n"), "digest")  # falls as the id grows, without overflow
     firsts = rows.groupBy(at.alias("stretch")).agg(F.min(rank).alias("first")).orderBy("stretch").collect()  # a row per stretch
     before = [firsts[i - 1]["stretch"] for i in range(len(firsts))]
-    ghosts = rows.sparkSession.createDataFrame([(*f["first"], b) for f, b in zip(firsts, before)], "_n bigint, _digest bigint, _to int")
-    sent = rows.join(F.broadcast(ghosts), F.negative("doc_id").eqNullSafe(F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")  # at most MOST_STRETCHES rows
+    ghosts = rows.sparkSession.createDataFrame([(*f["first"], b) for f, b in zip(firsts, before)], "_n bigint, _digest bigint, _to struct<s:int,p:bigint>")
+    sent = rows.join(F.broadcast(ghosts), F.bitwise_not("doc_id").eqNullSafe(F.col("_n")) & (F.col("digest") == F.col("_digest")), "left")  # a row per stretch
     own = F.struct(at.alias("stretch"), F.lit(False).alias("ghost"))
     copy = F.struct(F.col("_to").alias("stretch"), F.lit(True).alias("ghost"))
     sent = sent.select(*rows.columns, F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("_at"))
