@@ -26,9 +26,16 @@ from tabloom.llm.blocks import fresh
 from tabloom.session import broadcast_if_small, cut_lineage
 
 SLICES = 1 << 14  # slices of the rank; the cut orders one of them
+TEXT_SLICES = 256  # slices that rows of one id, source and size are dealt to
+CHUNK = 10_000  # rows that are numbered at a time
 PASSES = 2  # passes down the rank; the second uses the gap that a large document left at the first cut
 
 
+def text_slice(text: Column) -> Column:
+    """Slice of a text by its digest."""
+    return F.pmod(F.xxhash64(text), F.lit(TEXT_SLICES)).cast("int")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
@@ -103,11 +110,23 @@ def draw(units: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("taken", F.col("size") * (F.col("copies") + F.col("extra").cast("bigint")))
 
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, nth) per row, stored; rows that repeat are numbered by ``nth``."""
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    equal = slim.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    return cut_lineage(equal.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("nth")))
+def units_of(docs: DataFrame, sliced: bool = False) -> DataFrame:
+    """(doc_id, source, size, nth) per row, stored; rows that repeat are numbered by ``nth``.
+
+    With ``sliced``, also ``text_slice``, and ``place_in_slice`` from 0: rows of one key are numbered slice of texts by slice.
+    """
+    key = ["doc_id", "source", "size"]
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_slice(F.col("text")).alias("text_slice"))
+    named = [*key, "text_slice"] if sliced else key
+    equal = slim.groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy("text_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most TEXT_SLICES rows
+    equal = equal.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) if sliced else F.lit(0))
+    # Two steps, so that no array is as long as the rows of a key are many.
+    equal = equal.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("low"))
+    last = F.least(F.col("low") + CHUNK, F.col("n")) - 1
+    units = equal.select(*named, "before", F.explode(F.sequence("low", last)).alias("place_in_slice"))
+    units = units.withColumn("nth", (F.col("before") + F.col("place_in_slice") + 1).cast("int")).drop("before")
+    return cut_lineage(units if sliced else units.drop("place_in_slice"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -117,14 +136,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them. Equal keys are numbered within the key, where the texts meet
-    the decisions; so the texts are moved once.
+    """Rows of ``docs`` as often as the mix takes them. Rows of equal id, source and size are numbered within a slice of
+    their texts, where the texts meet the decisions; so texts are moved once, and a repeated or null id spreads over TEXT_SLICES
+    groups. Only rows that repeat their text, too, share one.
     """
     key, nth, times, copy = (fresh(docs, n) for n in ("mix_key", "mix_nth", "mix_times", "mix_copy"))
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0)).cast("int")
-    decided = mix(docs, weights, most).select(F.to_json(F.struct("doc_id", "source", "size")).alias(key), F.struct("nth", copies.alias("copies")).alias("d"))
+    units = units_of(docs, sliced=True)
+    name = F.to_json(F.struct("doc_id", "source", "size", "text_slice")).alias(key)
+    decided = draw(units, targets(units, weights, most)).select(name, F.struct("nth", copies.alias("copies")).alias("d"))
     decided = decided.groupBy(key).agg(F.sort_array(F.collect_list("d")).alias("all")).select(key, F.col("all.copies").alias(times))
-    named = docs.withColumn(key, F.to_json(F.struct("doc_id", "source", n_words(F.col("text")).alias("size"))))
+    text = F.col("text")
+    named = docs.withColumn(key, F.to_json(F.struct("doc_id", "source", n_words(text).alias("size"), text_slice(text).alias("text_slice"))))
     rows = named.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).join(decided, key)
     wanted = F.get(times, F.col(nth) - 1)
     return rows.where(wanted > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), wanted)).alias(copy)).drop(copy)
