@@ -40,6 +40,13 @@ def projection(spark, d):
     return reduce.projection_rows(vectors, c, 7, 3)
 
 
+@query("n23_projection_tfidf")
+def projection_tfidf(spark, d):
+    c = corpus(spark, d)
+    fitted = text.fit_vectorizer(c, "tfidf")
+    return reduce.sparse_projection_rows(fitted.transform(c), c, fitted.size, 3)
+
+
 @query("n24_text_classification")
 def classify(spark, d):
     docs = table(spark, d, "documents")
