@@ -162,7 +162,7 @@ def with_next(rows: DataFrame, carried: list[str], pieces: int | None = None) ->
     """``rows`` (doc_id, digest, ...) with ``next_<column>`` of the next row for each of the ``carried`` columns.
 
     Order: doc_id descending, nulls last, equal ids by digest; the first follows the last. Rows move
-    once, to the stretch of their id; the first row of a stretch is also sent to the stretch before.
+    once, to the stretch of their id, or of their id and digest where an id is crowded; the first row of a stretch is also sent to the stretch before.
     """
     if pieces is None:
         pieces = min(rows.count() // ROWS_PER_STRETCH + 1, MOST_STRETCHES)
