@@ -9,7 +9,12 @@ parent. One self-join appends the siblings held by the node pointed at and takes
 distance to the ancestor doubles per round until all pointers have passed the root. Only inner nodes jump; the
 rows of one run share all that lies above them and take it in one last join, at a sixteenth of the rows.
 A node at distance d is pointed at by up to ``FAN_OUT**d`` nodes, but there are few such targets: they are
-broadcast once they are counted to be few, and before that no target has many pointers.
+broadcast once they are counted to be few, and before that no target has many pointers. Nodes whose pointer has
+passed the root stay where the round before stored them.
+
+Every partition of a stored table is a file of its own, for which some file systems start a process. A level
+is a sixteenth of the one below it, so its partitions follow its nodes (at most about ``NODES`` taken in by a
+task) and not the shuffle partitions, which follow the rows.
 
 Nulls and ties: a null value is a leaf field like others; null groups and null order keys come first; rows
 with equal order keys are ordered by their digest (rows equal in both are alike). An empty table has no leaves
@@ -29,6 +34,7 @@ from tabloom.session import broadcast_if_small, cut_lineage
 
 FAN_OUT = 16
 TOP = -1  # the number of the tree above the subroots
+NODES = 4_096  # nodes that a task takes in to build the level above them
 TARGETS = 8_192  # nodes pointed at that may be broadcast, divided by the siblings' levels that each holds
 STEP = "struct<left:string,right:string>"
 
@@ -57,9 +63,14 @@ def _above(at: Column, fan_out: int) -> Column:
     return F.floor(at / fan_out).cast("bigint")
 
 
-def _grow(nodes: DataFrame, level: int, most: int, fan_out: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _tasks(nodes: int) -> int:
+    return max(1, -(-nodes // NODES))
+
+
+def _grow(nodes: DataFrame, level: int, most: int, count: int, trees: int, fan_out: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Build the levels above ``nodes`` (tree, at, m, hash, key), where m is the node count of the tree's level.
 
+    ``most`` is the largest m, ``count`` the number of nodes or a bound of it.
     Returns the pointers (key, up, path) of all nodes below a top, and the tops (tree, hash, key).
     """
     pointers, tops = [], []
@@ -71,7 +82,9 @@ def _grow(nodes: DataFrame, level: int, most: int, fan_out: int) -> tuple[list[D
         run = F.sort_array(F.collect_list(F.struct("at", "hash", "key"))).alias("run")
         grouped = nodes.where("m > 1").groupBy("tree", _above(F.col("at"), fan_out).alias("up_at")).agg(run, F.first("m").alias("m"))
         me = F.struct(F.col("tree"), F.lit(level).alias("level"), F.col("up_at").alias("at"))
-        grouped = cut_lineage(grouped.select("tree", "run", F.col("up_at").alias("at"), F.ceil(F.col("m") / fan_out).alias("m"), me.alias("key")))
+        grouped = grouped.select("tree", "run", F.col("up_at").alias("at"), F.ceil(F.col("m") / fan_out).alias("m"), me.alias("key"))
+        grouped = cut_lineage(grouped.coalesce(_tasks(count)))
+        count = count // fan_out + trees
         below = grouped.select(F.col("key").alias("up"), F.col("run.hash").alias("hashes"), F.explode("run").alias("x"))
         pointers.append(below.select("x.key", "up", F.array(_step(F.col("hashes"), _slot(F.col("x.at"), fan_out))).alias("path")))
         nodes = grouped.select("tree", "at", "m", F.sha2(F.array_join("run.hash", ""), 256).alias("hash"), "key")
@@ -79,14 +92,17 @@ def _grow(nodes: DataFrame, level: int, most: int, fan_out: int) -> tuple[list[D
 
 def _jump(pointers: DataFrame, height: int) -> DataFrame:
     """(key, path): all steps from a node to the root."""
-    pointers = cut_lineage(pointers)
+    going, done = cut_lineage(pointers), []
     for k in range(max(0, math.ceil(math.log2(max(1, height))))):
-        ahead = pointers.where((F.col("key.tree") == TOP) | (F.col("key.level") > 2**k))  # only these are 2**k above another node
+        nodes = reduce(DataFrame.unionByName, [*done, going])
+        ahead = nodes.where((F.col("key.tree") == TOP) | (F.col("key.level") > 2**k))  # only these are 2**k above another node
         ahead = broadcast_if_small(ahead.select(F.col("key").alias("target"), F.col("up").alias("next"), F.col("path").alias("rest")), TARGETS >> k)
-        going = pointers.where("up IS NOT NULL").join(ahead, F.col("up") == F.col("target"), "left")
+        if k:
+            done.append(going.where("up IS NULL"))
+        longer = going.where("up IS NOT NULL").join(ahead, F.col("up") == F.col("target"), "left")
         rest = F.coalesce("rest", F.array().cast(f"array<{STEP}>"))
-        pointers = cut_lineage(going.select("key", F.col("next").alias("up"), F.concat("path", rest).alias("path")).unionByName(pointers.where("up IS NULL")))
-    return pointers.select("key", "path")
+        going = cut_lineage(longer.select("key", F.col("next").alias("up"), F.concat("path", rest).alias("path")))
+    return reduce(DataFrame.unionByName, [*done, going]).select("key", "path")
 
 
 def manifest(leaves: DataFrame, group: str = "source", order: str = "doc_id", fan_out: int = FAN_OUT) -> DataFrame:
@@ -96,10 +112,10 @@ def manifest(leaves: DataFrame, group: str = "source", order: str = "doc_id", fa
     siblings to the left and to the right, joined.
     """
     sort = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first(), F.col("leaf")]
-    rows = cut_lineage(global_row_number(leaves, sort, "_place", single_task_rows=0))
+    rows = global_row_number(leaves, sort, "_place", single_task_rows=0)  # stored there, before the places are added
     groups = rows.groupBy(group).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     groups = cut_lineage(global_row_number(groups, [F.col(group).asc_nulls_first()], "_tree"))
-    trees, most = groups.agg(F.count(F.lit(1)), F.max("_n")).first()
+    trees, most, count = groups.agg(F.count(F.lit(1)), F.max("_n"), F.sum(F.ceil(F.col("_n") / fan_out))).first()
     if not trees:
         return leaves.select("*", *[F.lit(None).cast("string").alias(c) for c in ("subroot", "root")], F.lit(None).cast(f"array<{STEP}>").alias("path"))
 
@@ -113,10 +129,11 @@ def manifest(leaves: DataFrame, group: str = "source", order: str = "doc_id", fa
                                    F.when(F.col("_level") == 1, F.sha2(F.array_join(hashes, ""), 256)).otherwise(hashes[0]).alias("hash")))
 
     lowest = runs.select("key.tree", "key.at", F.ceil(F.col("n") / fan_out).alias("m"), "hash", "key")
-    pointers, tops = _grow(lowest, 1, -(-most // fan_out), fan_out)
+    lowest = cut_lineage(lowest.repartition(_tasks(count)))  # without the rows
+    pointers, tops = _grow(lowest, 1, -(-most // fan_out), count, trees, fan_out)
     subroots = cut_lineage(reduce(DataFrame.unionByName, tops))
     upper = subroots.select(F.lit(TOP).cast("bigint").alias("tree"), F.col("tree").alias("at"), F.lit(trees).cast("bigint").alias("m"), "hash", "key")
-    upper_pointers, roots = _grow(upper, 0, trees, fan_out)
+    upper_pointers, roots = _grow(upper, 0, trees, trees, 1, fan_out)
     root = roots[-1].first()["hash"]
 
     steps = pointers + upper_pointers

@@ -87,3 +87,34 @@ def test_other_columns_and_fan_out(spark):
     rows = got.withColumn("again", merkle.fold(got.leaf, got.path)).collect()
     assert len(rows) == 42 and all(r.again == r.root and r.other == 2 * r.pos for r in rows)
     assert {(r.grp, len(r.path)) for r in rows} == {("a", 7), ("b", 4)}  # 37 -> 6 levels, 5 -> 3, and one above
+
+
+def test_stored_partitions_follow_the_nodes(spark, monkeypatch):
+    """Levels and pointers of a deep tree are stored in few partitions, which do not double with every jump."""
+    stored = []
+
+    def cut(df, real=merkle.cut_lineage):
+        out = real(df)
+        stored.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(merkle, "cut_lineage", cut)
+    leaves = spark.createDataFrame([("a", i, H(str(i))) for i in range(300)] + [("b", 0, H("b"))], "grp string, pos bigint, leaf string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = merkle.manifest(leaves, "grp", "pos", fan_out=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rows = got.withColumn("again", merkle.fold(got.leaf, got.path)).collect()
+    assert len(rows) == 301 and all(r.again == r.root for r in rows)
+    assert max(stored) <= 10  # 300 rows give nine levels, the two subroots one more; 8 shuffle partitions
+    assert sum(x > 1 for x in stored) <= 7  # runs, subroots, pointers of all levels, four jumps
+
+
+def test_levels_in_many_partitions(spark, monkeypatch):
+    """Levels of more nodes than a task takes in, and more targets than may be broadcast."""
+    monkeypatch.setattr(merkle, "NODES", 3)
+    monkeypatch.setattr(merkle, "TARGETS", 1)
+    rows = many() + [(3000 + i, str(i), "en", f"t{i % 3}", i) for i in range(200)]
+    got = merkle.prove_documents(table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == slow(rows)
