@@ -187,3 +187,28 @@ def test_rows_moved_grow_slowly(monkeypatch):
         reach = np.array([x[-1] if len(x) == 5 else np.inf for x in near])
         per_query.append(np.mean([tree.rows[leaves].sum() for leaves, _ in tree.visits(q, reach, 5, np.zeros(len(q)))]))
     assert per_query[1] < 8 * per_query[0], per_query
+
+
+def test_queries_travel_once_per_bundle(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 10)
+    rng = np.random.default_rng(12)
+    pts = rng.normal(size=(600, 32))  # nothing can be ruled out
+    answers, real = [], neighbors._at_leaves
+
+    def counted(*args):
+        found = real(*args)
+        answers.append(found.count())
+        return found
+
+    monkeypatch.setattr(neighbors, "_at_leaves", counted)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbors.nearest(points_df(spark, pts), points_df(spark, pts), 8, block_rows=300).collect()}
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    want = np.argsort(d, axis=1, kind="stable")[:, :8]
+    assert got == {(i, j + 1): int(want[i, j]) for i in range(600) for j in range(8)}
+    assert answers[-1] < 600 * 8 * 12  # 60 leaves with 8 rows each before
+
+
+def test_range_join_broadcasts_nothing(spark):
+    df = spark.range(10).selectExpr("id AS k", "id AS x", "id AS y")
+    plan = density.range_pairs(df, df, ["x", "y"], ["x", "y"], "k", "k", 2.0)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
